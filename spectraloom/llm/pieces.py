@@ -1,14 +1,14 @@
 """Operator 10: SentencePiece encoding and decoding by streaming Viterbi.
 
-The best path maximises the sum of the piece scores stored in the model file, as the public library
-does for a unigram model. Only the scores and back pointers of the last ``longest`` boundaries are
+The best path maximises the sum of the piece scores stored in the model file, as the lattice decoder
+of the public library does for a unigram model. Only the scores and back pointers of the last ``longest`` boundaries are
 kept, ``longest`` being the length of the longest piece: whenever the back-pointer paths of all of
 them meet in one boundary, the ids up to it are final and leave the window. No piece holds a space
 after another character, so paths always meet before a word; words between such boundaries are
 remembered, in two generations of bounded size, and not solved again.
 
 The vocabulary file (``piece_bpe_32k.model``) stores byte-pair ranks as scores; they are used as they
-stand. Tests compare ids with the library's own unigram decoder over the same pieces and scores.
+stand. Tests compare ids with the library's lattice decoder over the same pieces and scores.
 
 Text is neither lower-cased nor otherwise normalised: a dummy space is put in front and spaces become
 U+2581. A U+2581 of the text itself, and any character that no piece holds, becomes its UTF-8 bytes,
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -34,7 +35,7 @@ from spectraloom.llm.common import byte_slices, byte_view
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words remembered in each of two generations.
-MEMORY = 120_000
+MEMORY = 250_000
 _NONE = float("-inf")
 
 
@@ -63,6 +64,13 @@ class Pieces:
                 for end in range(1, len(piece)):
                     self.trie.setdefault(piece[:end].replace(SPACE, " "), (_NONE, -1))
                 self.trie[piece.replace(SPACE, " ")] = (scores[-1], k)
+        # the same as nested tables for short words: (children, score or None, id)
+        self.root: tuple = ({}, None, -1)
+        for piece, (score, k) in sorted(self.trie.items(), key=lambda kv: len(kv[0])):
+            node = self.root
+            for c in piece[:-1]:
+                node = node[0][c]
+            node[0][piece[-1]] = ({}, None if score == _NONE else score, k)
         self.longest = max((len(p) for p in self.trie), default=1)
         self.unknown = min(scores, default=0.0) - 10.0
         whole = [p for p, (s, _) in self.trie.items() if s != _NONE]
@@ -120,6 +128,37 @@ class Pieces:
         if n > base:
             yield self._path(text, back, base, n)
 
+    def short(self, text: str) -> list[int]:
+        """The same path for a text no longer than the window, which needs no commits."""
+        n, root, low = len(text), self.root[0], _NONE
+        best, start, ids = [0.0] + [low] * n, [0] * (n + 1), [self.unk] * (n + 1)
+        for i in range(n):
+            here, node, end = best[i], root.get(text[i]), i + 1
+            if node is None or node[1] is None:
+                s = here + self.unknown
+                if s > best[end]:
+                    best[end], start[end], ids[end] = s, i, self.unk
+            while node is not None:
+                score = node[1]
+                if score is not None:
+                    score += here
+                    if score > best[end]:
+                        best[end], start[end], ids[end] = score, i, node[2]
+                if end == n:
+                    break
+                node = node[0].get(text[end])
+                end += 1
+        out, end = [], n
+        while end:
+            i = start[end]
+            if ids[end] == self.unk:
+                out.extend(self.byte_ids[b] for b in reversed(text[i:end].encode()))
+            else:
+                out.append(ids[end])
+            end = i
+        out.reverse()
+        return out
+
     def _path(self, text: str, back: list[tuple[int, int]], base: int, end: int) -> list[int]:
         out: list[int] = []
         while end > base:
@@ -135,7 +174,8 @@ class Pieces:
     def _solve(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
-            got = np.array([k for run in self.viterbi(word) for k in run], np.int32).tobytes()
+            ids = self.short(word) if len(word) <= 4 * self.longest else [k for run in self.viterbi(word) for k in run]
+            got = array("i", ids).tobytes()
         if len(word) <= 64:
             if len(self.young) >= MEMORY:
                 self.old, self.young = self.young, {}
