@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.llm import edit_print, inner_topk, language_id, pieces, quality_pu, source_mix, toxicity, url_filter
+from spectraloom.llm import edit_print, inner_topk, language_id, near_dedup, pieces, quality_pu, source_mix, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), k=2)
+
+
 def op3_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -29,6 +33,10 @@ def op5_edit_print(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_print.compare(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_inner_topk, op4_toxicity, op5_edit_print, op7_language, op8_url_filter, op9_source_mix, op10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_inner_topk, op4_toxicity, op5_edit_print, op6_suffix_dedup, op7_language, op8_url_filter, op9_source_mix, op10_pieces)}
 
 TOPK_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 64)::BIGINT) AS v FROM embeddings
@@ -70,4 +78,19 @@ m AS (SELECT p.*, h || pre AS rule, verdict, row_number() OVER (PARTITION BY pag
   FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre))
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND k = 1"""
 
-SQL: dict[str, str] = {"op3_inner_topk": TOPK_SQL, "op8_url_filter": URL_SQL, "op9_source_mix": source_mix.mix_sql()}
+#: All pairs that share a shingle, then a recursive minimum over links.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) = 1 THEN [ws[1]]
+  ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS rep, sh, len(sh) AS n FROM (SELECT doc_id, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) GROUP BY sh),
+t AS MATERIALIZED (SELECT rep, n, unnest(sh) AS x FROM c),
+l AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT rep, rep FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+f AS MATERIALIZED (SELECT node, min(root) AS root FROM r GROUP BY node),
+m AS (SELECT s.doc_id, len(s.sh) AS n, coalesce(f.root, s.doc_id) AS component_id FROM s LEFT JOIN c ON c.sh = list_sort(s.sh) LEFT JOIN f ON f.node = c.rep)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m"""
+
+SQL: dict[str, str] = {"op2_near_dedup": NEAR_SQL, "op3_inner_topk": TOPK_SQL, "op8_url_filter": URL_SQL, "op9_source_mix": source_mix.mix_sql()}
