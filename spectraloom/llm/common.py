@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a compressed table in the shared checkpoint folder, and its path for ``discard``."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``stored`` wrote, and let Spark drop shuffle files that nothing refers to any more."""
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold_of(doc_id: Column | str, n: int) -> Column:
     """``crc32(doc_id as text) mod n``; a null id counts as the text ``''``."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -91,7 +113,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
+INVERSE = pow(BASE, -1, 1 << 64)
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
 
@@ -105,7 +127,7 @@ def prefix_sums(raw: np.ndarray) -> np.ndarray:
 
 def window_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of raw[start:end], equal for equal bytes wherever they stand."""
-    back = powers(_INVERSE, int(starts.max()) + 1 if len(starts) else 1)
+    back = powers(INVERSE, int(starts.max()) + 1 if len(starts) else 1)
     return mix64((sums[ends] - sums[starts]) * back[starts])
 
 

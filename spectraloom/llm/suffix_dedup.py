@@ -27,7 +27,6 @@ are ignored; texts of any length are read whole.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -36,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import U64, byte_slices, byte_view, materialize, mix64, prefix_sums, window_hash
+from spectraloom.llm.common import INVERSE, U64, byte_slices, byte_view, discard, materialize, mix64, powers, prefix_sums, stored, window_hash
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # anchor hashes in one string
 #: Segments of one anchor beyond which they are not sorted in one shard; bytes of a shard.
-MANY, SHARD_BYTES = 4096, 1 << 21
+MANY, SHARD_BYTES = 4096, 1 << 19
 LOWEST = -(1 << 63)
 _BITS = 8  # a run has at most SPAN starts, fewer than 2**_BITS
 
@@ -54,16 +53,17 @@ def runs_of(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return none
     sums = prefix_sums(raw)
     at = np.arange(n)
-    h = window_hash(sums, at, at + GRAM)
-    # leftmost minimum over SPAN consecutive hashes, by doubling: the position breaks ties
-    best, width, where = h, 1, at
+    # the hash's upper half over the place: a minimum is the least hash, and of equal ones the leftmost
+    best = (sums[GRAM:] - sums[:-GRAM]) * powers(INVERSE, n)
+    best *= U64(0x9FB21C651E98DF25)
+    best &= U64(0xFFFFFFFF00000000)
+    best |= at.astype(U64)
+    width = 1
     while width < SPAN:
         step = min(width, SPAN - width)
-        a, b = best[: len(best) - step], best[step:]
-        right = b < a
-        where = np.where(right, where[step:], where[: len(where) - step])
-        best = np.where(right, b, a)
+        best = np.minimum(best[: len(best) - step], best[step:])
         width += step
+    where = (best & U64(0xFFFFFFFF)).astype(np.int64)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(where)]
     ok = np.arange(len(where)) + LENGTH <= offs[1:][row]  # strings within one document
     starts = np.flatnonzero(ok)
@@ -77,7 +77,7 @@ def runs_of(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     # an anchor's place in the segment belongs to the identity of the segment
     seg = mix64(seg + (w[first] - s0).astype(U64))
     r = row[s0]
-    return r, s0 - offs[:-1][r], count, h[w[first]], seg
+    return r, s0 - offs[:-1][r], count, window_hash(sums, w[first], w[first] + GRAM), seg
 
 
 def anchors(rows: DataFrame) -> DataFrame:
@@ -87,15 +87,18 @@ def anchors(rows: DataFrame) -> DataFrame:
         for batch in batches:
             raw, offs = byte_view(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
-            for lo, _, part, at in byte_slices(raw, offs):
+            for lo, _, part, at in byte_slices(raw, offs, 1 << 18):
                 r, start, count, anchor, seg = runs_of(part, at)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[lo + r]), pa.array((start << _BITS) | count)], ["anchor", "seg", "doc_id", "run"])
 
     return rows.mapInArrow(run, "anchor long, seg long, doc_id long, run long")
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of small non-negative integers by induced sorting; a shorter suffix comes before one it begins."""
+def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array of small non-negative integers by induced sorting; a shorter suffix comes before one it begins.
+
+    With ``depth``, suffixes that agree in so many places may stand in any order.
+    """
     n = len(s)
     if n < 2:
         return np.arange(n)
@@ -191,7 +194,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         names[sorted_lms] = name
         if name[-1] + 1 < len(lms):
             rank = names[lms]
-            order = suffix_array(rank) if name[-1] < 1024 else _doubled(rank)
+            order = suffix_array(rank, depth) if name[-1] < 64 else _doubled(rank, depth)
             lms_sorted = lms[order]
         else:
             lms_sorted = sorted_lms
@@ -201,42 +204,67 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return sa[1:]
 
 
-def _doubled(rank: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of names over a large alphabet, whose buckets would be too many to visit: ranks of 2^k names from those of 2^(k-1)."""
+def _doubled(rank: np.ndarray, depth: int | None) -> np.ndarray:
+    """Suffix array of a string of names over a large alphabet, whose buckets would be too many to visit.
+
+    Ranks by 2^k names come from those by 2^(k-1); only groups still tied are sorted again.
+    """
     n, step = len(rank), 1
-    rank = rank + 1
-    while True:
-        second = np.concatenate((rank[step:], np.zeros(min(step, n), np.int64)))[:n]
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        ks = key[order]
-        new = np.cumsum(np.concatenate(([1], (ks[1:] != ks[:-1]).astype(np.int64))))
-        if new[-1] == n:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+    order = np.argsort(rank, kind="stable")
+    ks = rank[order]
+    first = np.concatenate(([True], ks[1:] != ks[:-1]))
+    # a group's rank is the place of its first member, so sorting inside a group leaves the others alone
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    place = np.empty(n + 1, np.int64)
+    place[order], place[n] = begin, -1
+    while depth is None or step < depth:
+        tied = ~first
+        tied[:-1] |= tied[1:].copy()
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        who = order[at]
+        second = place[np.minimum(who + step, n)]
+        by = np.argsort(begin[at] * (n + 2) + second + 1, kind="stable")
+        order[at] = who[by]
+        a, b = begin[at], second[by]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        first[at] = new
+        begin[at] = np.maximum.accumulate(np.where(new, at, 0))
+        place[order[at]] = begin[at]
         step *= 2
+    return order
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: at each position of the text the length, cut at ``most``, of the prefix its suffix shares with the one before it in the array."""
-    plcp = np.zeros(len(sa), np.int64)
-    if len(sa) < 2:
+def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Permuted: at each position of the text the length, cut at ``most``, of the prefix its suffix shares with the one before it in the array.
+
+    With a mask ``among``, only where it holds for both; else 0.
+    """
+    n = len(sa)
+    plcp = np.zeros(n, np.int64)
+    if n < 2:
         return plcp
-    padded = np.concatenate((text.astype(np.uint8), np.zeros(most + 16, np.uint8)))
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    eight = np.zeros(n + most + 8, U64)  # the eight bytes from each position
+    for k in range(8):
+        eight[: max(0, n - k)] |= text[k:].astype(U64) << U64(8 * k)
     i, phi = sa[1:], sa[:-1]
+    if among is not None:
+        on = among[i] & among[phi]
+        i, phi = i[on], phi[on]
     order = np.argsort(i)
     i, phi = i[order], phi[order]
-    n, k = len(sa), 0
-    alive = np.arange(len(i))
+    got = np.zeros(len(i), np.int64)
+    a, b, alive, k = i, phi, np.arange(len(i)), 0
     while len(alive) and k < most:
-        ne = eight[i[alive] + k] != eight[phi[alive] + k]
-        got = np.where(ne.any(1), ne.argmax(1), 8)
-        plcp[i[alive]] += got
-        alive = alive[(got == 8) & (np.maximum(i[alive], phi[alive]) + k + 8 <= n)]
+        x = eight[a + k] ^ eight[b + k]
+        same = x == 0
+        low = (x & (~x + U64(1)))[~same]
+        got[alive[~same]] = k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+        alive, a, b = alive[same], a[same], b[same]
         k += 8
-    plcp[i] = np.minimum(np.minimum(plcp[i], most), n - np.maximum(i, phi))
+        got[alive] = k
+    plcp[i] = np.minimum(np.minimum(got, most), n - np.maximum(i, phi))
     return plcp
 
 
@@ -245,11 +273,11 @@ def repeated(segments: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tup
     sizes = np.array([len(b) for b in segments])
     joined = np.frombuffer(b"".join(b + b"\xff" for b in segments), np.uint8)  # 0xff is no byte of UTF-8
     base = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-    sa = suffix_array(joined)
-    plcp = common_prefixes(joined, sa, LENGTH)
+    sa = suffix_array(joined, LENGTH)
     seg = np.repeat(np.arange(len(segments)), sizes + 1)
     off = np.arange(len(joined)) - base[seg]
     whole = off + LENGTH <= sizes[seg]
+    plcp = common_prefixes(joined, sa, LENGTH, whole)
     group = np.cumsum(~((plcp[sa] >= LENGTH) & whole[sa] & np.concatenate(([False], whole[sa][:-1]))))
     keep = whole[sa]
     pos, group = sa[keep], group[keep]
@@ -280,20 +308,15 @@ def _packed(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array(out_d, np.int64), np.array(out_r, np.int64)
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def removals(docs: DataFrame) -> DataFrame:
-    """``doc_id, run``: the starts of all strings that also start earlier, packed in runs."""
+    """``doc_id, runs``: the starts of all strings that also start earlier, packed in runs, for each document that has any."""
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc_id"), "text").where(F.octet_length("text") >= LENGTH)
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = anchors(rows)
     often = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    met = materialize(found.join(often, "anchor"))
-    _release(docs)
+    met, met_at = stored(found.join(often, "anchor"))
+    discard(spark)
     firsts = met.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "run")).alias("f"), F.count("*").alias("c"))
     firsts = materialize(firsts.select("anchor", "seg", F.col("f.doc_id").alias("doc_id"), F.col("f.run").alias("run"), "c"))
     twice = firsts.where("c > 1").select("anchor", "seg", F.col("doc_id").alias("d"), F.col("run").alias("r"))
@@ -313,8 +336,8 @@ def removals(docs: DataFrame) -> DataFrame:
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["anchor", "doc_id", "start", "bytes", "kinds"])
 
-    pieces = materialize(rows.join(wanted, "doc_id").mapInArrow(cut, "anchor long, doc_id long, start long, bytes binary, kinds long"))
-    _release(docs)
+    pieces, pieces_at = stored(rows.join(wanted, "doc_id").mapInArrow(cut, "anchor long, doc_id long, start long, bytes binary, kinds long"))
+    discard(spark)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every string of the segments of a frequent anchor, by hash."""
@@ -352,7 +375,10 @@ def removals(docs: DataFrame) -> DataFrame:
             yield done()
 
     shards = pieces.where(F.col("kinds") <= MANY).select("anchor", "doc_id", "start", "bytes").repartition(n_parts, "anchor").sortWithinPartitions("anchor")
-    return later.unionByName(hot_later).unionByName(shards.mapInArrow(sort_shards, "doc_id long, run long"))
+    every = later.unionByName(hot_later).unionByName(shards.mapInArrow(sort_shards, "doc_id long, run long"))
+    out = materialize(every.groupBy("doc_id").agg(F.collect_list("run").alias("runs")))
+    discard(spark, met_at, pieces_at)
+    return out
 
 
 def _spans(data: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
@@ -369,8 +395,8 @@ def _spans(data: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
 
 def with_runs(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with ``_runs``, their packed removals, null if none."""
-    per_doc = removals(docs).groupBy("doc_id").agg(F.collect_list("run").alias("_runs")).withColumnRenamed("doc_id", "_id")
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).join(materialize(per_doc), "_id", "left").drop("_id")
+    per_doc = removals(docs).select(F.col("doc_id").alias("_id"), F.col("runs").alias("_runs"))
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).join(per_doc, "_id", "left").drop("_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
