@@ -197,6 +197,19 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def filter_rows(docs: DataFrame, net: Net | None, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns kept; one pass, no join."""
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = byte_view(batch.column("text"))
+            for lo, hi, part, at in byte_slices(raw, offs):
+                yield batch.slice(lo, hi - lo).filter(pa.array(net.score(featurize(part, at)) >= threshold))
+
+    return docs if net is None else docs.mapInArrow(run, schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
     out = score(docs, fit(docs, labels))

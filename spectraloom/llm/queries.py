@@ -59,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_inner_topk, op4_toxicity, op5_edit_print, op6_suffix_dedup, op7_language, op8_url_filter, op9_source_mix, op10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_inner_topk, op4_toxicity, op5_edit_print, op6_suffix_dedup, op7_language, op8_url_filter, op9_source_mix, op10_pieces, pipeline)}
 
 TOPK_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 64)::BIGINT) AS v FROM embeddings
