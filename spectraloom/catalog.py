@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Ids and texts, dealt over all cores where the table comes as a few files only."""
+    return plans.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def prompts(spark: SparkSession, key: str = "doc_id") -> DataFrame:
@@ -202,7 +203,7 @@ def reconstruct_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def compress_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every document shortened by the fused plan."""
-    return plans.compress(plans.spread(documents(spark, sf_dir)))
+    return plans.compress(documents(spark, sf_dir))
 
 
 @query
@@ -234,19 +235,19 @@ for _level in strips.LEVELS:
 
 @query
 def strip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plans.spread(documents(spark, sf_dir)).select("doc_id", strips.stripped_column(F.col("text"), "ultra").alias("r"))
+    rows = documents(spark, sf_dir).select("doc_id", strips.stripped_column(F.col("text"), "ultra").alias("r"))
     return rows.select("doc_id", "r.*")
 
 
 @query
 def pipeline_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.staged(plans.spread(documents(spark, sf_dir)), pre="lite").select("doc_id", F.posexplode("stages").alias("place", "s"), "total_ratio").select("doc_id", "place", "s.*", "total_ratio")
+    return plans.staged(documents(spark, sf_dir), pre="lite").select("doc_id", F.posexplode("stages").alias("place", "s"), "total_ratio").select("doc_id", "place", "s.*", "total_ratio")
 
 
 @query
 def suite_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    done = plans.compress(plans.spread(docs)).join(docs, "doc_id")
+    done = plans.compress(docs).join(docs, "doc_id")
     return done.agg(F.count("*").alias("texts"), F.sum("tokens_saved").alias("tokens_saved"), (F.sum("tokens_saved") / F.greatest(F.sum(F.floor(F.char_length("text") / 4)), F.lit(1))).alias("saved_share"))
 
 
