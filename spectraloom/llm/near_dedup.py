@@ -9,11 +9,11 @@ sketch costs the same for any size; a register left open makes the cut-off doubl
 
 Bands of registers are bucket keys. Documents with equal sets are one class, represented by its
 smallest id, before anything else. Each bucket's members first meet its smallest id, one pair a
-member. Where the members of a bucket are then still in different components, the pairs between these
-are found by an exact prefix filter over the members' rarest shingles; a bucket whose members are one
-component makes no further pair, so a group of copies of any size makes rows in proportion to its
-size. Candidate pairs pass a joint likelihood estimate of the Jaccard index from all registers, with a
-margin of five standard deviations, and are confirmed on the full sets of both texts.
+member; these pairs pass a joint likelihood estimate of the Jaccard index from all registers, with a
+margin of five standard deviations. Where the members of a bucket are then still in different
+components, their sets are compared in blocks of the bucket, and only a forest of the links found
+leaves a block; a bucket whose members are one component makes nothing further. So a group of copies of
+any size makes rows in proportion to its size. All links are confirmed on the full sets of both texts.
 
 With 48 bands of 6 registers and base 1.1, a pair at similarity 0.8 is missed by every band with a
 chance of 2e-7, and by the estimate with less.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import U64, byte_slices, byte_view, components, materialize, mix64, words
+from spectraloom.llm.common import U64, byte_slices, byte_view, components, discard, materialize, mix64, stored, words
 
 BANDS, ROWS, BASE = 48, 6, 1.1
 REGISTERS = BANDS * ROWS
@@ -41,6 +41,8 @@ OFFSET, CUTOFF = 30, 12.5
 #: Sets under this size are sketched one by one.
 SMALL = 64
 MARGIN = 0.12
+#: Least hashes of a set that stand for it, the margin of a likeness taken from them (five standard deviations), and members of a block.
+SIG, SIG_MARGIN, BLOCK = 1024, 0.063, 2048
 _STEP = U64(0xD1342543DE82EF95)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -172,7 +174,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").where(fit).mapInArrow(run, "src long, dst long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that are linked, by the full sets of both texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,66 +190,151 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("src").filter(mask), batch.column("dst").filter(mask)], ["src", "dst"])
 
-    ids = pairs.select(F.col("src").alias("doc_id")).unionByName(pairs.select(F.col("dst").alias("doc_id"))).distinct()
-    texts = materialize(docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]))
     both = pairs.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("b")), "dst")
-    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    return materialize(both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long"))
 
 
-def _by_prefix(rest: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of ``rest(doc_id, component)`` in different components that an exact prefix filter leaves.
+def linked_pairs(sizes: np.ndarray, comps: np.ndarray, sigs: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of members in different components that may be linked, enough of them to join what is linked.
 
-    Two linked sets share one of the first ``n - ceil(percent n / 100) + 1`` elements of either, in any
-    common order; here rarest first, so a passage that many documents share makes no pair of them.
+    ``sigs`` are the ``SIG`` least 32-bit hashes of each set, which are all of them for most sets. Counts of
+    shared hashes come from one matrix product; where both sets are whole the count is the answer, and a
+    link that one collision could not have made joins the two components here, so that a group of near
+    copies gives a forest, not all its pairs. Members of side 0 meet those of side 1, or one another if
+    there is no side 1.
     """
+    root = {int(c): int(c) for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    names, count = np.unique(comps, return_counts=True)
+    whole = sizes <= SIG
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.flatnonzero(comps != names[count.argmax()]), np.arange(len(sizes)))
+    if not len(left) or not len(right):
+        return []
+    code, of = np.unique(np.concatenate(sigs), return_inverse=True)
+    doc = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
+    often = np.bincount(of, minlength=len(code)) > 1
+    col = np.cumsum(often) - 1
+    on = often[of]
+    doc, col = doc[on], col[of[on]]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    at_left, at_right = np.full(len(sizes), -1), np.full(len(sizes), -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    for lo in range(0, int(often.sum()), 4096):
+        now = (col >= lo) & (col < lo + 4096)
+        d, c = doc[now], col[now] - lo
+        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+        x[at_left[d[at_left[d] >= 0]], c[at_left[d] >= 0]] = 1
+        y[at_right[d[at_right[d] >= 0]], c[at_right[d] >= 0]] = 1
+        shared += x @ y.T
+    n, m = sizes[left][:, None], sizes[right][None, :]
+    fits = (comps[left][:, None] != comps[right][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    sure = whole[left][:, None] & whole[right][None, :]
+    link = fits & sure & (100 * shared >= percent * (n + m - shared))
+    strong = link & (100 * (shared - 1) >= percent * (n + m - shared + 1))
+    out = []
+    for i, j in zip(*np.nonzero(strong), strict=True):
+        a, b = find(int(comps[left[i]])), find(int(comps[right[j]]))
+        if a != b:
+            root[a] = b
+            out.append((int(left[i]), int(right[j])))
+    for i, j in zip(*np.nonzero(link & ~strong), strict=True):
+        if find(int(comps[left[i]])) != find(int(comps[right[j]])):
+            out.append((int(left[i]), int(right[j])))
+    for i, j in zip(*np.nonzero(fits & ~sure), strict=True):
+        a, b = sigs[left[i]], sigs[right[j]]
+        if find(int(comps[left[i]])) != find(int(comps[right[j]])):
+            both = np.union1d(a, b)[:SIG]
+            alike = np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean()
+            if 100 * (alike + SIG_MARGIN) >= percent:
+                out.append((int(left[i]), int(right[j])))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _within_buckets(met: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs ``src, dst`` in different components of ``met(band, doc_id, component)``, found by comparing whole sets bucket by bucket.
+
+    A bucket of more than ``BLOCK`` members is dealt into blocks, and each two blocks meet in a cell of
+    their own, so no task holds a bucket.
+    """
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = byte_view(batch.column("text"))
-            for lo, _, part, at in byte_slices(raw, offs):
+            for lo, hi, part, at in byte_slices(raw, offs):
                 sets = shingle_sets(part, at, k)
-                of = np.repeat(np.arange(lo, lo + len(sets)), [len(s) for s in sets])
-                x = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), batch.column("component").take(pa.array(of)), pa.array(x), pa.array(np.repeat([len(s) for s in sets], [len(s) for s in sets]))], ["doc_id", "component", "x", "n"])
+                sigs = [np.unique((s >> U64(32)).astype(np.uint32))[:SIG].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n", "sig"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell."""
+        held, last = [], None
 
-    elements = docs.join(rest, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "component", "text").mapInArrow(run, "doc_id long, component long, x long, n long")
-    elements = materialize(elements)
-    common = elements.groupBy("x").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    ranked = elements.join(common, "x").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "x")))
-    need = F.ceil(F.col("n") * percent / 100)
-    heads = materialize(ranked.where((F.col("place") <= F.col("n") - need + 1) & (F.col("lo") != F.col("hi"))).select("x", "doc_id", "component", "n"))
-    other = heads.select("x", F.col("doc_id").alias("dst"), F.col("component").alias("c"), F.col("n").alias("m"))
-    fit = (F.col("doc_id") > F.col("dst")) & (F.col("component") != F.col("c")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return heads.join(other, "x").where(fit).select(F.col("doc_id").alias("src"), "dst").distinct()
+        def done() -> tuple[list, list]:
+            ids = [x[1] for x in held]
+            found = linked_pairs(np.array([x[3] for x in held]), np.array([x[2] for x in held]), [np.frombuffer(x[4], np.uint32) for x in held], np.array([x[5] for x in held]), percent) if len(held) > 1 else []
+            return [max(ids[i], ids[j]) for i, j in found], [min(ids[i], ids[j]) for i, j in found]
+
+        src, dst = [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "doc_id", "component", "n", "sig", "side")), strict=True):
+                if row[0] != last and held:
+                    a, b = done()
+                    src, dst, held = src + a, dst + b, []
+                held.append(row)
+                last = row[0]
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            src, dst = [], []
+        if held:
+            src, dst = done()
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    sets = texts.join(met.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(signed, "doc_id long, n long, sig binary")
+    blocks = met.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = met.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.concat_ws(":", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "doc_id", "component", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    rows = rows.join(sets, "doc_id").select("cell", "doc_id", "component", "n", "sig", "side")
+    n_parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(meet, "src long, dst long").distinct()
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = materialize(sketched(rows, k))
+    marks, _ = stored(sketched(rows, k))
     full = marks.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     member = materialize(full.select("doc_id", "n", "h1", "h2").distinct().join(classes, ["n", "h1", "h2"]).select("doc_id", "rep"))
-    reps = materialize(full.join(member.where("doc_id = rep").select("doc_id"), "doc_id").select("doc_id", "n", "regs").dropDuplicates(["doc_id"]))
+    reps, reps_at = stored(full.join(member.where("doc_id = rep").select("doc_id"), "doc_id").select("doc_id", "n", "regs").dropDuplicates(["doc_id"]))
     keys = [F.xxhash64(F.lit(b), F.substring("regs", b * ROWS + 1, ROWS)) for b in range(BANDS)]
     banded = reps.select("doc_id", F.explode(F.array(*keys)).alias("band"))
-    least = percent / 100
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return materialize(_confirmed(materialize(_likely(pairs, reps, least)), rows, k, percent))
-
     low = banded.groupBy("band").agg(F.min("doc_id").alias("dst"), F.count("*").alias("c")).where("c > 1").select("band", "dst")
-    shared = materialize(banded.join(low, "band"))  # buckets with company only
-    tried = materialize(shared.where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst").distinct())
-    links = linked(tried)
+    shared, shared_at = stored(banded.join(low, "band"))  # buckets with company only
+    discard(spark)
+    tried = shared.where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst").distinct()
+    likely = materialize(_likely(tried, reps, percent / 100))
+    discard(spark, reps_at)
+    # whole texts are shuffled once; only those in company go on
+    texts, texts_at = stored(rows.join(shared.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
+    discard(spark)
+    links = _confirmed(likely, texts, k, percent)
     comps = components(links)
     at = shared.select("band", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    rest = materialize(at.join(mixed, "band").select("doc_id", "component").distinct())
-    fresh = materialize(_by_prefix(rest, rows, k, percent).join(tried, ["src", "dst"], "left_anti"))
+    met, met_at = stored(at.join(mixed, "band"))
+    discard(spark, shared_at)
+    fresh = materialize(_within_buckets(met, texts, k, percent))
+    discard(spark, met_at)
     if not fresh.isEmpty():
-        links = links.unionByName(linked(fresh))
-    comps = components(links)
+        comps = components(links.unionByName(_confirmed(fresh, texts, k, percent)))
+    discard(spark, texts_at)
     reached = member.join(comps, member.rep == comps.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = marks.select("doc_id", F.col("n").alias("n_shingles")).join(reached, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
