@@ -293,9 +293,11 @@ def repeated(segments: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tup
 
 def _packed(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs (document, packed start and length) of sorted single starts."""
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))) if len(doc) else np.zeros(0, bool)
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
     out_d, out_r = [], []
