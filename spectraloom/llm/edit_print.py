@@ -6,9 +6,10 @@ j and that character, is set. Texts a few edits apart fall into step again, so e
 Hamming distance. Walks run over blocks of ``BLOCK`` code points, so that long texts are as parallel
 as many short ones; a shift moves a block's border, which costs the two blocks a few steps each.
 
-A fingerprint is ``SAMPLES`` sampled places of the whole embedding, one hex digit each: half spread
-evenly over the text, half at fixed places on a log scale. Digit 0 stands for a place past a block's
-last character; where both fingerprints have it, it is not compared.
+A fingerprint is ``SAMPLES`` sampled places of the whole embedding, one hex digit each, spread evenly
+up to two powers of two that the text's length lies below, so that texts of nearly one length share the
+places of one power at least. Digit 0 stands for a place past the text or a block's last character; where
+both fingerprints have it, it is not compared.
 
 Defined cases: null is the empty text, whose fingerprint is all zeros and is alike (1.0) only to
 itself; equal texts have equal fingerprints; equal ids are ordered by text, and the document after the
@@ -33,8 +34,7 @@ _rng = np.random.default_rng(20160619)
 #: advance bits by step and character code; code 0 is past the end and never advances
 _MOVE = _rng.integers(0, 2, (STEPS, 256), dtype=np.int8)
 _MOVE[:, 0] = 0
-_EVEN = _rng.random(SAMPLES // 2)
-_FIXED = (2.0 ** (_rng.random(SAMPLES // 2) * 26)).astype(np.int64)
+_PLACES = _rng.random((2, SAMPLES // 2))
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: one of 15 non-zero digits for each character code
 _DIGIT = np.concatenate(([0], 1 + _rng.integers(0, 15, 255))).astype(np.uint8)
@@ -87,8 +87,12 @@ def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
     for row, (codes, ids) in enumerate(zip(texts, firsts, strict=True)):
         if len(codes):
             n = 3 * len(codes)
-            places = np.concatenate(((_EVEN * n).astype(np.int64), _FIXED % n))
-            out[row] = _DIGIT[walks[np.array(ids)[places // STEPS], places % STEPS]]
+            # the places hang on the length only through two staggered powers of two, so near lengths share them
+            top = 2.0 ** np.array([np.ceil(np.log2(n)), np.ceil(np.log2(n) + 0.5) - 0.5])
+            places = (_PLACES * top[:, None]).astype(np.int64).ravel()
+            on = places < n
+            places = places[on]
+            out[row, on] = _DIGIT[walks[np.array(ids)[places // STEPS], places % STEPS]]
     return out
 
 
