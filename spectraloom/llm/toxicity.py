@@ -135,7 +135,7 @@ def _units(text: F.Column) -> F.Column:
     return F.array_distinct(F.concat(words, F.transform(longer, lambda w: F.concat(F.lit("4:"), F.substring(w, 1, 4))), F.transform(F.filter(words, lambda w: F.length(w) >= 5), lambda w: F.concat(F.lit("5:"), F.substring(w, 1, 5)))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, z_least: float = 1.64, least: float = 1.5) -> Lexicon | None:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, z_least: float = 1.64, least: float = 2.2) -> Lexicon | None:
     """Learn from ``labels(doc_id, toxic)`` outside the held-out fold; None unless both labels occur there."""
     marks = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).where(fold_of("doc_id", folds) != held)
     n = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
