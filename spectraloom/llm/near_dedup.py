@@ -53,7 +53,7 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
     _, ids, at = words(_FOLD[raw], offs)
     out = []
     many = np.zeros(len(ids), U64)
-    for j in range(k):
+    for j in range(min(k, len(ids))):  # a slice may hold fewer words than a shingle
         many[: len(ids) - j] = mix64(many[: len(ids) - j] + ids[j:] * U64(2 * j + 3))
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if hi - lo >= k:

@@ -97,6 +97,17 @@ def test_near_dedup(odd, none, k):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1])
 
 
+def test_slices_of_few_words():
+    """A slice of one short document, whose words are fewer than a shingle's."""
+    for n in range(7):
+        raw = np.frombuffer(" ".join(WORDS[:n]).encode(), np.uint8)
+        sets = near_dedup.shingle_sets(raw, np.array([0, len(raw)]), 5)
+        assert [len(s) for s in sets] == [min(n, 1) if n < 5 else n - 4]
+        # the same set as beside a longer document
+        both = np.frombuffer((" ".join(WORDS[:n]) + " ".join(WORDS)).encode(), np.uint8)
+        assert (near_dedup.shingle_sets(both, np.array([0, len(raw), len(both)]), 5)[0] == sets[0]).all()
+
+
 def test_near_chains(spark):
     """A hub group whose members are linked along chains, and many that only share a passage."""
     rng = random.Random(3)
