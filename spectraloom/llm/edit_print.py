@@ -6,10 +6,15 @@ j and that character, is set. Texts a few edits apart fall into step again, so e
 Hamming distance. Walks run over blocks of ``BLOCK`` code points, so that long texts are as parallel
 as many short ones; a shift moves a block's border, which costs the two blocks a few steps each.
 
-A fingerprint is ``SAMPLES`` sampled places of the whole embedding, one hex digit each, spread evenly
-up to two powers of two that the text's length lies below, so that texts of nearly one length share the
-places of one power at least. Digit 0 stands for a place past the text or a block's last character; where
-both fingerprints have it, it is not compared.
+A fingerprint is ``SAMPLES`` sampled places of the whole embedding, one hex digit each. Each sample has
+a random order of all places, the same for every text, and takes the first of them that lies in the
+text's embedding and stands on a character (min-wise sampling over absolute places). So two texts of any
+lengths have a sample's place in common with the chance that the places of the shorter are among those
+of the longer, and the likeness falls in proportion to the part that one of them lacks. Orders are not
+drawn place by place: the ``RANKS`` first of the places up to any length change only a logarithmic number
+of times, and these changes are drawn directly. Digit 0 is left where none of the ``RANKS`` places stands on a
+character (a walk leaves a block after about two thirds of its steps, so about one sample in 6,000), and
+for the empty text; where both fingerprints have it, it is not compared.
 
 Defined cases: null is the empty text, whose fingerprint is all zeros and is alike (1.0) only to
 itself; equal texts have equal fingerprints; equal ids are ordered by text, and the document after the
@@ -30,16 +35,45 @@ from pyspark.sql import functions as F
 from spectraloom.llm.common import components, materialize
 
 BLOCK, STEPS, WIDTH, SAMPLES = 1024, 3072, 2048, 256
+#: Places held for a sample, and a bound of the places of any text (of 10^11 characters).
+RANKS, MOST_PLACES = 8, 1 << 38
 _rng = np.random.default_rng(20160619)
 #: advance bits by step and character code; code 0 is past the end and never advances
 _MOVE = _rng.integers(0, 2, (STEPS, 256), dtype=np.int8)
 _MOVE[:, 0] = 0
-_PLACES = _rng.random((2, SAMPLES // 2))
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: one of 15 non-zero digits for each character code
 _DIGIT = np.concatenate(([0], 1 + _rng.integers(0, 15, 255))).astype(np.uint8)
 
 
+def _orders(rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sample * MOST_PLACES + n from which on they hold, and the RANKS first places below n in the sample's order (-1: no more).
+
+    A place's rank is uniform in [0, 1); with ``worst`` the last of the ranks held, the next place to enter
+    is a geometric number of places on, and its rank is uniform below ``worst``.
+    """
+    keys, held = [], []
+    for sample in range(SAMPLES):
+        best, place = [], -1
+        while True:
+            worst = best[-1][0] if len(best) == RANKS else 1.0
+            place += int(min(rng.geometric(worst), MOST_PLACES))
+            if place >= MOST_PLACES - 1:
+                break
+            best = sorted([*best, (rng.random() * worst, place)])[:RANKS]
+            keys.append(sample * MOST_PLACES + place + 1)
+            held.append([p for _, p in best] + [-1] * (RANKS - len(best)))
+    return np.array(keys), np.array(held)
+
+
+_KEYS, _HELD = _orders(_rng)
+
+
+def places_of(n: int) -> np.ndarray:
+    """The first RANKS of the n first places in the order of each sample (SAMPLES, RANKS); -1 where there are fewer."""
+    return _HELD[np.searchsorted(_KEYS, np.arange(SAMPLES) * MOST_PLACES + n, "right") - 1]
+
+
 def codes_of(text: str) -> np.ndarray:
     """Non-zero 8-bit codes of the code points."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -86,13 +120,9 @@ def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(texts), SAMPLES), np.uint8)
     for row, (codes, ids) in enumerate(zip(texts, firsts, strict=True)):
         if len(codes):
-            n = 3 * len(codes)
-            # the places hang on the length only through two staggered powers of two, so near lengths share them
-            top = 2.0 ** np.array([np.ceil(np.log2(n)), np.ceil(np.log2(n) + 0.5) - 0.5])
-            places = (_PLACES * top[:, None]).astype(np.int64).ravel()
-            on = places < n
-            places = places[on]
-            out[row, on] = _DIGIT[walks[np.array(ids)[places // STEPS], places % STEPS]]
+            places = places_of(3 * len(codes))
+            digits = np.where(places >= 0, _DIGIT[walks[np.array(ids)[places // STEPS], places % STEPS]], 0)
+            out[row] = digits[np.arange(SAMPLES), (digits > 0).argmax(1)]
     return out
 
 

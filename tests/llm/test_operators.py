@@ -189,6 +189,22 @@ def test_edit_print(spark, odd, none):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_edit_print_of_other_lengths(spark):
+    """The first half is kept whatever the next document's length, so half of the samples agree."""
+    rng = random.Random(7)
+    random_text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for k, n in enumerate((0, 1, 60, 300, 700, 1000, 2000, 5000)):  # of the document after one of 2,000 characters
+        rows += [(2 * k, random_text(2000)), (2 * k + 1, random_text(n))]
+    got = {r.doc_id: r for r in edit_print.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [got[2 * k].near_edited for k in range(8)]
+    assert all(0.42 < x < 0.64 for x in near) and max(near) - min(near) < 0.15, near
+    a, b = random_text(5462), random_text(300)
+    prints = edit_print.fingerprints([edit_print.codes_of(t) for t in (a, a[:-1], a[:2731], b, "")])
+    alike = lambda i, j: edit_print.likeness(prints[i : i + 1], prints[j : j + 1])[0]
+    assert alike(0, 1) > 0.97 and 0.42 < alike(0, 2) < 0.6 and alike(0, 3) < 0.15 and alike(0, 4) == 0 and alike(4, 4) == 1
+
+
 def test_edit_copies(spark):
     """Equal texts always meet; a walk falls into step again after an edit for most texts, not for all."""
     rows = [(5, None)]
