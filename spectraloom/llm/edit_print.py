@@ -37,6 +37,8 @@ from spectraloom.llm.common import components, materialize
 BLOCK, STEPS, WIDTH, SAMPLES = 1024, 3072, 2048, 256
 #: Places held for a sample, and a bound of the places of any text (of 10^11 characters).
 RANKS, MOST_PLACES = 8, 1 << 38
+#: Texts of a bucket that are compared in one cell.
+MEMBERS = 512
 _rng = np.random.default_rng(20160619)
 #: advance bits by step and character code; code 0 is past the end and never advances
 _MOVE = _rng.integers(0, 2, (STEPS, 256), dtype=np.int8)
@@ -233,11 +235,76 @@ def within_edits(a: str, b: str, most: int) -> int | None:
     return None
 
 
-def near_copies(docs: DataFrame, most_edits: int = 16, bands: int = 24, digits: int = 12) -> DataFrame:
+def forest(texts: list[str], comps: list[int], side: list[int], most: int) -> list[tuple[int, int]]:
+    """Pairs of members in different components within ``most`` edits, enough of them to join all that are linked.
+
+    Members of side 0 meet those of side 1, or one another if there is no side 1. An edit changes the
+    length by one and the counts of characters by two at most, so pairs that differ more are not read.
+    """
+    root = {c: c for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    size = np.array([len(t) for t in texts])
+    counts = np.stack([np.bincount(codes_of(t) & 63, minlength=64) for t in texts]).astype(np.int32)
+    sides, of = np.array(side), np.array(comps)
+    out = []
+    for i in np.flatnonzero(sides == 0):
+        others = np.flatnonzero(sides == 1) if sides.any() else np.arange(i + 1, len(texts))
+        others = others[(of[others] != of[i]) & (np.abs(size[others] - size[i]) <= most)]
+        others = others[np.abs(counts[others] - counts[i]).sum(1) <= 2 * most]
+        for j in others.tolist():
+            a, b = find(comps[i]), find(comps[j])
+            if a != b and within_edits(texts[i], texts[j], most) is not None:
+                root[a] = b
+                out.append((int(i), j))
+    return out
+
+
+def _within_buckets(met: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """Verified links ``src, dst`` between components of ``met(band, doc_id, component)``, found bucket by bucket.
+
+    A bucket of more than ``MEMBERS`` texts is dealt into blocks, and each two blocks meet in a cell of
+    their own, so no task holds a bucket.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell."""
+        held, last = [], None
+
+        def done() -> pa.RecordBatch:
+            found = forest([x[3] for x in held], [x[2] for x in held], [x[4] for x in held], most) if len(held) > 1 else []
+            ids = [(held[i][1], held[j][1]) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in ids], pa.int64()), pa.array([min(p) for p in ids], pa.int64())], ["src", "dst"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "doc_id", "component", "text", "side")), strict=True):
+                if row[0] != last and held:
+                    yield done()
+                    held = []
+                held.append(row)
+                last = row[0]
+        if held:
+            yield done()
+
+    blocks = met.groupBy("band").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    rows = met.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.concat_ws("|", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "doc_id", "component", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    n_parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(texts, "doc_id").repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "doc_id", "component", "text", "side").mapInArrow(meet, "src long, dst long").distinct()
+
+
+def near_copies(docs: DataFrame, most_edits: int = 16, bands: int = 24, digits: int = 8) -> DataFrame:
     """``doc_id, component_id`` by bit-sampled banding of fingerprints and verified edit distance, for texts of non-null ids.
 
     Equal texts are one text first. In each band each text meets the smallest id of its bucket, so a
-    bucket of any size gives one pair a member; pairs are verified on whole texts.
+    bucket of any size gives one pair a member; pairs are verified on whole texts. Where the members of
+    a bucket are then still in several components, they are compared with one another, block by block.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +327,12 @@ def near_copies(docs: DataFrame, most_edits: int = 16, bands: int = 24, digits:
     low = banded.groupBy("band").agg(F.min("doc_id").alias("dst"))
     pairs = banded.join(low, "band").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst").distinct()
     both = pairs.join(reps.select(F.col("doc_id").alias("src"), F.col("text").alias("a")), "src").join(reps.select(F.col("doc_id").alias("dst"), F.col("text").alias("b")), "dst")
-    comps = components(both.mapInArrow(verify, "src long, dst long"))
+    links = materialize(both.mapInArrow(verify, "src long, dst long"))
+    comps = components(links)
+    at = banded.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    fresh = materialize(_within_buckets(materialize(at.join(mixed, "band")), reps, most_edits))
+    if not fresh.isEmpty():
+        comps = components(links.unionByName(fresh))
     out = classes.join(comps, classes.rep == comps.node, "left")
     return out.select("doc_id", F.coalesce("component", "rep").alias("component_id"))

@@ -218,6 +218,24 @@ def test_edit_copies(spark):
     assert edit_print.within_edits("kitten", "sitting", 3) == 3 and edit_print.within_edits("kitten", "sitting", 2) is None
 
 
+def test_edit_copies_beside_a_smaller_id(spark, monkeypatch):
+    """Texts one edit apart meet although the smallest id of their buckets is too far from both, and at lengths on both sides of a power of two."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(8):
+        b = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(8000))
+        a = list(b)
+        for p in rng.sample(range(8000), 20):
+            a[p] = "#"
+        rows += [(10 * k, "".join(a)), (10 * k + 1, b), (10 * k + 2, b[:4000] + "#" + b[4001:]), (10 * k + 3, b[:5462] + "+"), (10 * k + 4, b[:5462])]
+    for members in (512, 2):
+        monkeypatch.setattr(edit_print, "MEMBERS", members, raising=False)
+        got = {r.doc_id: r.component_id for r in edit_print.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [got[i] for i, _ in rows] == [i // 10 * 10 + (0, 1, 1, 3, 3)[i % 10] for i, _ in rows]
+    pairs = edit_print.forest(["abcd", "abxd", "zzzzzz", "abxx"], [0, 1, 2, 3], [0, 0, 0, 0], 1)
+    assert {frozenset(p) for p in pairs} == {frozenset((0, 1)), frozenset((1, 3))}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for n, sigma in ((0, 2), (1, 2), (30, 1), (200, 2), (500, 4), (400, 200)):
