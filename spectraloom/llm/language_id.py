@@ -25,8 +25,8 @@ from spectraloom.llm.common import byte_slices, byte_view, fold_of, unit_hash
 
 #: Bytes of a window, hidden units of a direction, windows stepped together.
 WINDOW, HIDDEN, WIDTH = 64, 8, 2048
-#: Bounds of the fitted sample: languages, documents of each, windows of a document.
-MAX_LANGS, MAX_DOCS, MAX_WINDOWS = 64, 600, 6
+#: Bounds of the fitted sample: documents of each language, windows of a document. Every language is learned.
+MAX_DOCS, MAX_WINDOWS = 600, 6
 UND = "und"
 
 
@@ -114,10 +114,12 @@ class BiGru:
         padded = np.append(raw, np.zeros(WINDOW, np.uint8))
         order = np.argsort(-size, kind="stable")  # short last windows together: steps stop early for them
         steps = np.arange(WINDOW)
-        for lo in range(0, len(order), WIDTH):
-            some = order[lo : lo + WIDTH]
+        width = max(32, WIDTH * 64 // max(64, len(self.langs)))  # many languages, fewer windows at once
+        for lo in range(0, len(order), width):
+            some = order[lo : lo + width]
             long = int(size[some].max())
             xs = padded[begin[some][None, :] + steps[:long, None]]
+            xs *= steps[:long, None] < size[some]  # no bytes of the next text
             probs, _, _ = self.positions(xs)
             if size[some].min() < long:
                 probs *= (steps[:long, None] < size[some])[:, None, :]
@@ -129,8 +131,12 @@ class BiGru:
         return out
 
 
-def train(xs: np.ndarray, ys: np.ndarray, langs: list[str], steps: int = 350, batch: int = 192, seed: int = 3) -> BiGru:
-    """Fit on windows xs (n, WINDOW) of languages ys (n) by Adam on the mean position-wise cross-entropy."""
+def train(xs: np.ndarray, ys: np.ndarray, langs: list[str], sizes: np.ndarray | None = None, steps: int = 350, batch: int = 192, seed: int = 3) -> BiGru:
+    """Fit on windows xs (n, WINDOW) of languages ys (n) by Adam on the mean position-wise cross-entropy.
+
+    ``sizes`` are the bytes of each window where some are padded with zeros at their end, as ``pool`` pads
+    them; padding has no loss, and every window weighs the same.
+    """
     rng = np.random.default_rng(seed)
     draw = lambda *s: rng.normal(0, 0.25, s).astype(np.float32)
 
@@ -147,6 +153,9 @@ def train(xs: np.ndarray, ys: np.ndarray, langs: list[str], steps: int = 350, ba
         x, y = xs[pick].T, ys[pick]
         d, fore, aft = net.positions(x)
         d[:, y, np.arange(batch)] -= 1
+        if sizes is not None:
+            d *= (np.arange(WINDOW)[:, None] < sizes[pick])[:, None, :]
+            d *= WINDOW / sizes[pick]
         d /= d.shape[0] * batch
         grad_out = np.concatenate((np.einsum("tlb,thb->lh", d, fore), np.einsum("tlb,thb->lh", d, aft[::-1])), 1)
         ahead = net.ahead.grads(x, fore, net.out[:, :HIDDEN].T @ d)
@@ -166,7 +175,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, found = [], []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             data = (text or "").encode()
-            n = min(MAX_WINDOWS, len(data) // WINDOW)
+            n = min(MAX_WINDOWS, max(len(data) // WINDOW, 1 if data else 0))
             for k in range(n):
                 at = (len(data) - WINDOW) * k // max(1, n - 1) if n > 1 else 0
                 langs.append(lang)
@@ -177,19 +186,23 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, folds: int = 4, held: int = 2) -> BiGru | None:
     """Learn ``lang`` from the texts outside the held-out fold; None without a usable row."""
     rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(fold_of("doc_id", folds) != held)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
     if not counts:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, MAX_DOCS / n)).otherwise(share)
+    often = {lang: MAX_DOCS / n for lang, n in counts.items() if n > MAX_DOCS}
+    share = F.lit(1.0)
+    if often:
+        shares = docs.sparkSession.createDataFrame(list(often.items()), "lang string, share double")
+        rows = rows.join(F.broadcast(shares), "lang", "left")
+        share = F.coalesce("share", share)
     got = rows.where(unit_hash(F.col("doc_id"), F.lit(21)) < share).select("lang", "text").mapInArrow(_windows, "lang string, x binary").toPandas()
     langs = sorted(set(got["lang"]))
     if not langs:
         return None
-    xs = np.frombuffer(b"".join(got["x"]), np.uint8).reshape(-1, WINDOW)
+    xs = np.frombuffer(b"".join(x.ljust(WINDOW, b"\0") for x in got["x"]), np.uint8).reshape(-1, WINDOW)
+    sizes = got["x"].map(len).to_numpy()
     code = {lang: k for k, lang in enumerate(langs)}
-    return train(xs, got["lang"].map(code).to_numpy(), langs)
+    return train(xs, got["lang"].map(code).to_numpy(), langs, sizes, steps=max(350, 350 * len(langs) // 64))
 
 
 def predict(docs: DataFrame, net: BiGru | None) -> DataFrame:

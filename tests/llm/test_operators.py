@@ -270,6 +270,15 @@ def test_language(spark, odd, none, sf1):
     assert rows.where("lang = lang_pred").count() / rows.count() > 0.95
 
 
+def test_language_learns_short_texts_and_every_language(spark):
+    short = [(k, ("the cat and the dog " if k % 2 else "æøå ßü æøå ßü ")[: 12 + k % 7], ("en", "da")[k % 2 == 0]) for k in range(120)]
+    docs = spark.createDataFrame(short, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert sum(got[k] == lang for k, _, lang in short) > 110
+    many = spark.createDataFrame([(k, f"text of language {k % 70} " * 4, f"l{k % 70:02}") for k in range(700)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(many).langs) == 70
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     draw = lambda *s: rng.normal(0, 0.3, s)
