@@ -15,32 +15,50 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that the vectorised kernels handle at once; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 20
+#: Edges of one file of a component round.
+EDGES = 1 << 20
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a temporary folder used.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``; a temporary one only where a single process runs everything."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            where = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a compressed table in the shared checkpoint folder, and its path for ``discard``."""
+def materialize(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder, of at most ``parts`` files."""
+    _folder(df.sparkSession)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+
+
+def stored(df: DataFrame, parts: int | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a compressed table of at most ``parts`` files in the shared checkpoint folder, and its path for ``discard``."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def pieces_of(table: DataFrame, times: int = 1) -> int:
+    """How many tasks suit data of the size of ``table``, a plain table: its splits, and ``times`` the cores at least."""
+    return max(times * table.sparkSession.sparkContext.defaultParallelism, table.rdd.getNumPartitions())
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``frames``."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables that ``stored`` wrote, and let Spark drop shuffle files that nothing refers to any more."""
     for path in paths:
@@ -149,24 +167,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each is one shuffle with a
     map-side minimum, the number of edges never grows, and a path of length d takes O(log d) rounds.
-    Each round is checkpointed, so a lost executor repeats one round at most. Loops and repeated
-    edges are harmless; no edge gives an empty result.
+    Each round is checkpointed, so a lost executor repeats one round at most; the number of its files
+    follows the number of edges. Loops and repeated edges are harmless; no edge gives an empty result.
     """
-    cur = materialize(_distinct_edges(edges))
-    before = None
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    cur = materialize(_distinct_edges(edges), 4 * cores)
+    before, parts = None, 4 * cores
     for _ in range(rounds):
         both = cur.unionByName(cur.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("low")).withColumn("low", F.least("low", "src"))
-        big = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-        big = big.where("src <> dst").distinct()
+        big = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst")
         low = big.groupBy("src").agg(F.min("dst").alias("low"))
         small = big.join(low, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
         small = small.unionByName(low.select("src", F.col("low").alias("dst")))
-        cur = materialize(_distinct_edges(small))
+        cur = materialize(_distinct_edges(small), parts)
         now = tuple(cur.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before:
             break
-        before = now
+        before, parts = now, max(cores, -(-now[0] // EDGES))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = cur.select(F.col("src").alias("node"), F.col("dst").alias("component"))

@@ -11,17 +11,20 @@ Bands of registers are bucket keys. Documents with equal sets are one class, rep
 smallest id, before anything else. Each bucket's members first meet its smallest id, one pair a
 member; these pairs pass a joint likelihood estimate of the Jaccard index from all registers, with a
 margin of five standard deviations. Where the members of a bucket are then still in different
-components, their sets are compared in blocks of the bucket, and only a forest of the links found
-leaves a block; a bucket whose members are one component makes nothing further. So a group of copies of
-any size makes rows in proportion to its size. All links are confirmed on the full sets of both texts.
+components, those outside its largest component are compared, set against set, with the rest of the
+bucket in blocks, and only a forest of the links found leaves a block; a bucket whose members are one
+component makes nothing further. So a group of copies of any size makes rows in proportion to its size.
+All links are confirmed on the full sets of both texts.
 
 With 48 bands of 6 registers and base 1.1, a pair at similarity 0.8 is missed by every band with a
 chance of 2e-7, and by the estimate with less.
 
 Defined cases: null or wordless texts have an empty set, link with nothing and are kept; a text with
-fewer words than a shingle is one shingle of all its words; repeated rows stay repeated; a null id has
-no component and is not kept; an empty table gives an empty result; other columns are ignored; texts
-of any length are read whole.
+fewer words than a shingle is one shingle of all its words; repeated rows stay repeated; rows of one id
+are one document, linked by any of its texts; a null id has no component and is not kept; an empty
+table gives an empty result; other columns, whatever their names, are ignored; texts of any length are
+read whole. ``dedup`` keeps the documents that represent their group, each equal row of them once, and
+all rows without an id as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import U64, byte_slices, byte_view, components, discard, materialize, mix64, stored, words
+from spectraloom.llm.common import U64, byte_slices, byte_view, components, discard, materialize, mix64, pieces_of, stored, unused, words
 
 BANDS, ROWS, BASE = 48, 6, 1.1
 REGISTERS = BANDS * ROWS
@@ -41,8 +44,10 @@ OFFSET, CUTOFF = 30, 12.5
 #: Sets under this size are sketched one by one.
 SMALL = 64
 MARGIN = 0.12
-#: Least hashes of a set that stand for it, the margin of a likeness taken from them (five standard deviations), and members of a block.
-SIG, SIG_MARGIN, BLOCK = 1024, 0.063, 2048
+#: Least hashes of a set that stand for it, and the margin of a likeness taken from them (five standard deviations).
+SIG, SIG_MARGIN = 1024, 0.063
+#: Members of a block of those outside a bucket's largest component, and of a block of the others; pairs that share one copy of their hub's text.
+LEFT, RIGHT, HUB = 512, 2048, 256
 _STEP = U64(0xD1342543DE82EF95)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -175,33 +180,46 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that are linked, by the full sets of both texts."""
+    """The pairs that are linked, by the full sets of both texts.
+
+    Pairs of one ``dst`` are dealt into cells of about ``HUB``, so the text of a hub is sent once a cell
+    and no task holds all its pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, frozenset()
+        """Rows come sorted by cell, the hub's texts first."""
+        cell, hubs = None, []
         for batch in batches:
-            keep = []
-            for dst, a, b in zip(batch.column("dst").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                if dst != last:
-                    last, held = dst, exact_set(b, k)
-                own = exact_set(a, k)
-                both = len(own & held)
-                keep.append(100 * both >= percent * (len(own) + len(held) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("src").filter(mask), batch.column("dst").filter(mask)], ["src", "dst"])
+            src, dst = [], []
+            for d, salt, member, i, text in zip(*(batch.column(c) for c in ("dst", "salt", "member", "src", "text")), strict=True):
+                now = (d.as_py(), salt.as_py())
+                if now != cell:
+                    cell, hubs = now, []
+                own = exact_set(text.as_py(), k)
+                if not member.as_py():
+                    hubs.append(own)
+                elif any(100 * both >= percent * (len(own) + len(hub) - both) for hub in hubs if (both := len(own & hub))):
+                    src.append(i.as_py())
+                    dst.append(now[0])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("b")), "dst")
-    return materialize(both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long"))
+    many = pairs.groupBy("dst").agg(F.ceil(F.count("*") / HUB).cast("int").alias("salts"))
+    cells = materialize(pairs.join(many, "dst").select("src", "dst", F.pmod(F.xxhash64("src"), F.col("salts")).cast("int").alias("salt")), pieces_of(texts))
+    members = cells.join(texts.select(F.col("doc_id").alias("src"), "text"), "src").select("dst", "salt", F.lit(1).alias("member"), "src", "text")
+    hubs = cells.select("dst", "salt").distinct().join(texts.select(F.col("doc_id").alias("dst"), "text"), "dst").select("dst", "salt", F.lit(0).alias("member"), F.col("dst").alias("src"), "text")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.unionByName(hubs).repartition(n, "dst", "salt").sortWithinPartitions("dst", "salt", "member")
+    return materialize(dealt.mapInArrow(run, "src long, dst long").distinct(), pieces_of(texts))
 
 
-def linked_pairs(sizes: np.ndarray, comps: np.ndarray, sigs: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of members in different components that may be linked, enough of them to join what is linked.
+def linked_pairs(sizes: np.ndarray, comps: np.ndarray, sigs: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a member ``left`` and a member ``right`` (indexes) in different components that may be linked, enough of them to join what is linked.
 
     ``sigs`` are the ``SIG`` least 32-bit hashes of each set, which are all of them for most sets. Counts of
-    shared hashes come from one matrix product; where both sets are whole the count is the answer, and a
-    link that one collision could not have made joins the two components here, so that a group of near
-    copies gives a forest, not all its pairs. Members of side 0 meet those of side 1, or one another if
-    there is no side 1.
+    shared hashes come from matrix products over ranges of hashes, so memory is that of the counts and of
+    one range. Where both sets are whole the count is the answer but for collisions, for which two hashes
+    are allowed either way: a link that they could not have made joins the two components here, so that a
+    group of near copies gives a forest, not all its pairs; one that they could have hidden goes on too.
     """
     root = {int(c): int(c) for c in comps}
 
@@ -211,56 +229,62 @@ def linked_pairs(sizes: np.ndarray, comps: np.ndarray, sigs: list[np.ndarray], s
             c = root[c]
         return c
 
-    names, count = np.unique(comps, return_counts=True)
-    whole = sizes <= SIG
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.flatnonzero(comps != names[count.argmax()]), np.arange(len(sizes)))
     if not len(left) or not len(right):
         return []
-    code, of = np.unique(np.concatenate(sigs), return_inverse=True)
-    doc = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
-    often = np.bincount(of, minlength=len(code)) > 1
-    col = np.cumsum(often) - 1
-    on = often[of]
-    doc, col = doc[on], col[of[on]]
+    place = np.full((2, len(sizes)), -1, np.int32)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    codes = np.concatenate(sigs)
+    doc = np.repeat(np.arange(len(sigs), dtype=np.int32), [len(x) for x in sigs])
     shared = np.zeros((len(left), len(right)), np.float32)
-    at_left, at_right = np.full(len(sizes), -1), np.full(len(sizes), -1)
-    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-    for lo in range(0, int(often.sum()), 4096):
-        now = (col >= lo) & (col < lo + 4096)
-        d, c = doc[now], col[now] - lo
-        x, y = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
-        x[at_left[d[at_left[d] >= 0]], c[at_left[d] >= 0]] = 1
-        y[at_right[d[at_right[d] >= 0]], c[at_right[d] >= 0]] = 1
-        shared += x @ y.T
-    n, m = sizes[left][:, None], sizes[right][None, :]
-    fits = (comps[left][:, None] != comps[right][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-    sure = whole[left][:, None] & whole[right][None, :]
-    link = fits & sure & (100 * shared >= percent * (n + m - shared))
-    strong = link & (100 * (shared - 1) >= percent * (n + m - shared + 1))
+    ranges = max(1, len(codes) >> 18)
+    which = (codes.astype(np.uint64) * U64(ranges) >> U64(32)).astype(np.int32)
+    for r in range(ranges):
+        now = np.flatnonzero(which == r)
+        _, of = np.unique(codes[now], return_inverse=True)
+        often = np.bincount(of) > 1
+        on = often[of]
+        d, c = doc[now[on]], (np.cumsum(often) - 1)[of[on]]
+        order = np.argsort(c, kind="stable")
+        d, c = d[order], c[order]
+        for lo in range(0, int(often.sum()), 2048):
+            a, b = np.searchsorted(c, (lo, lo + 2048))
+            x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+            for grid, at in ((x, place[0, d[a:b]]), (y, place[1, d[a:b]])):
+                grid[at[at >= 0], c[a:b][at >= 0] - lo] = 1
+            shared += x @ y.T
+    whole = sizes <= SIG
     out = []
-    for i, j in zip(*np.nonzero(strong), strict=True):
-        a, b = find(int(comps[left[i]])), find(int(comps[right[j]]))
-        if a != b:
-            root[a] = b
-            out.append((int(left[i]), int(right[j])))
-    for i, j in zip(*np.nonzero(link & ~strong), strict=True):
-        if find(int(comps[left[i]])) != find(int(comps[right[j]])):
-            out.append((int(left[i]), int(right[j])))
-    for i, j in zip(*np.nonzero(fits & ~sure), strict=True):
-        a, b = sigs[left[i]], sigs[right[j]]
-        if find(int(comps[left[i]])) != find(int(comps[right[j]])):
-            both = np.union1d(a, b)[:SIG]
-            alike = np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean()
-            if 100 * (alike + SIG_MARGIN) >= percent:
-                out.append((int(left[i]), int(right[j])))
+    for lo in range(0, len(left), 64):
+        strip = left[lo : lo + 64]
+        n, m, both = sizes[strip][:, None], sizes[right][None, :], shared[lo : lo + 64]
+        fits = (comps[strip][:, None] != comps[right][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        sure = whole[strip][:, None] & whole[right][None, :]
+        may = fits & (~sure | (100 * (both + 2) >= percent * (n + m - both - 2)))
+        strong = fits & sure & (100 * (both - 2) >= percent * (n + m - both + 2))
+        for i, j in [*zip(*np.nonzero(strong), strict=True), *zip(*np.nonzero(may & ~strong), strict=True)]:
+            p, q = int(strip[i]), int(right[j])
+            a, b = find(int(comps[p])), find(int(comps[q]))
+            if a == b:
+                continue
+            if strong[i, j]:
+                root[a] = b
+            elif not sure[i, j]:
+                one, two = sigs[p], sigs[q]
+                least = np.union1d(one, two)[:SIG]
+                alike = np.isin(least, np.intersect1d(one, two, assume_unique=True), assume_unique=True).mean()
+                if 100 * (alike + SIG_MARGIN) < percent:
+                    continue
+            out.append((p, q))
     return out
 
 
 def _within_buckets(met: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs ``src, dst`` in different components of ``met(band, doc_id, component)``, found by comparing whole sets bucket by bucket.
 
-    A bucket of more than ``BLOCK`` members is dealt into blocks, and each two blocks meet in a cell of
-    their own, so no task holds a bucket.
+    The members outside a bucket's largest component are dealt into left blocks and meet all members in
+    right blocks, each two blocks in a cell of their own, so no task holds a bucket and a large group that
+    is one component already is copied once for each left block only. Two members that are both outside
+    meet in one cell, not in two.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,33 +299,37 @@ def _within_buckets(met: DataFrame, texts: DataFrame, k: int, percent: int) -> D
         """Rows come sorted by cell."""
         held, last = [], None
 
-        def done() -> tuple[list, list]:
-            ids = [x[1] for x in held]
-            found = linked_pairs(np.array([x[3] for x in held]), np.array([x[2] for x in held]), [np.frombuffer(x[4], np.uint32) for x in held], np.array([x[5] for x in held]), percent) if len(held) > 1 else []
-            return [max(ids[i], ids[j]) for i, j in found], [min(ids[i], ids[j]) for i, j in found]
+        def done() -> pa.RecordBatch:
+            ids, comps, sizes, sigs, side = zip(*held, strict=True)
+            side = np.array(side)
+            found = linked_pairs(np.array(sizes), np.array(comps), list(sigs), np.flatnonzero(side == 0), np.flatnonzero(side == 1), percent)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([max(ids[i], ids[j]) for i, j in found], pa.int64()), pa.array([min(ids[i], ids[j]) for i, j in found], pa.int64())], ["src", "dst"])
 
-        src, dst = [], []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "doc_id", "component", "n", "sig", "side")), strict=True):
-                if row[0] != last and held:
-                    a, b = done()
-                    src, dst, held = src + a, dst + b, []
-                held.append(row)
-                last = row[0]
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-            src, dst = [], []
+            for cell, doc_id, component, n, sig, side in zip(*(batch.column(c) for c in ("cell", "doc_id", "component", "n", "sig", "side")), strict=True):
+                now = cell.as_py()
+                if now != last and held:
+                    yield done()
+                last = now
+                held.append((doc_id.as_py(), component.as_py(), n.as_py(), np.frombuffer(sig.as_py(), np.uint32), side.as_py()))
         if held:
-            src, dst = done()
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+            yield done()
 
     sets = texts.join(met.select("doc_id").distinct(), "doc_id").select("doc_id", "text").mapInArrow(signed, "doc_id long, n long, sig binary")
-    blocks = met.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = met.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.concat_ws(":", "band", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "doc_id", "component", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    rows = rows.join(sets, "doc_id").select("cell", "doc_id", "component", "n", "sig", "side")
+    counts = met.groupBy("band", "component").agg(F.count("*").alias("c"))
+    tops = counts.groupBy("band").agg(F.sum("c").alias("all"), F.max(F.struct(F.col("c"), -F.col("component"))).alias("top"))
+    deal = tops.select("band", (-F.col("top.col2")).alias("top"), F.ceil((F.col("all") - F.col("top.c")) / LEFT).cast("int").alias("lefts"), F.ceil(F.col("all") / RIGHT).cast("int").alias("rights"))
+    rows = met.join(deal, "band").withColumns({"out": F.col("component") != F.col("top"), "l": F.pmod(F.xxhash64("doc_id"), F.col("lefts")).cast("int"), "r": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("rights")).cast("int")})
+    # a left block meets every right block; of two outside members that of the smaller left block is on the left, within a block either
+    ones = lambda n: F.sequence(F.lit(0), n - 1)
+    as_left = rows.where("out").select("band", F.col("l").alias("a"), F.explode(ones(F.col("rights"))).alias("b"), "doc_id", "component", F.lit(0).alias("side"))
+    last = F.when(F.col("out"), F.col("l") + 1).otherwise(F.col("lefts"))
+    as_right = rows.select("band", F.explode(ones(last)).alias("a"), F.col("r").alias("b"), "doc_id", "component", F.lit(1).alias("side"))
+    cells = as_left.unionByName(as_right).select(F.concat_ws(":", "band", "a", "b").alias("cell"), "doc_id", "component", "side")
     n_parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n_parts, "cell").sortWithinPartitions("cell").mapInArrow(meet, "src long, dst long").distinct()
+    dealt = cells.join(sets, "doc_id").select("cell", "doc_id", "component", "n", "sig", "side").repartition(n_parts, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(meet, "src long, dst long").distinct()
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -309,28 +337,31 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks, _ = stored(sketched(rows, k))
+    parts = pieces_of(marks)
     full = marks.where("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = materialize(full.select("doc_id", "n", "h1", "h2").distinct().join(classes, ["n", "h1", "h2"]).select("doc_id", "rep"))
-    reps, reps_at = stored(full.join(member.where("doc_id = rep").select("doc_id"), "doc_id").select("doc_id", "n", "regs").dropDuplicates(["doc_id"]))
+    member = materialize(full.select("doc_id", "n", "h1", "h2").distinct().join(classes, ["n", "h1", "h2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.collect_set("rep").alias("reps")), parts)
+    # an id with several texts joins their classes
+    own = member.where(F.size("reps") > 1).select(F.explode("reps").alias("src"), F.col("rep").alias("dst")).where("src <> dst")
+    reps, reps_at = stored(full.join(classes, ["n", "h1", "h2"]).where("doc_id = rep").select("doc_id", "n", "regs").dropDuplicates(["doc_id", "regs"]), parts)
     keys = [F.xxhash64(F.lit(b), F.substring("regs", b * ROWS + 1, ROWS)) for b in range(BANDS)]
     banded = reps.select("doc_id", F.explode(F.array(*keys)).alias("band"))
-    low = banded.groupBy("band").agg(F.min("doc_id").alias("dst"), F.count("*").alias("c")).where("c > 1").select("band", "dst")
-    shared, shared_at = stored(banded.join(low, "band"))  # buckets with company only
+    low = banded.groupBy("band").agg(F.min("doc_id").alias("dst"), F.max("doc_id").alias("top")).where("dst < top").select("band", "dst")
+    shared, shared_at = stored(banded.join(low, "band"), parts)  # buckets with company only
     discard(spark)
     tried = shared.where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst").distinct()
-    likely = materialize(_likely(tried, reps, percent / 100))
+    likely = materialize(_likely(tried, reps, percent / 100).distinct(), parts)
     discard(spark, reps_at)
     # whole texts are shuffled once; only those in company go on
-    texts, texts_at = stored(rows.join(shared.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
+    texts, texts_at = stored(rows.join(shared.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), 8 * parts)
     discard(spark)
-    links = _confirmed(likely, texts, k, percent)
+    links = _confirmed(likely, texts, k, percent).unionByName(own)
     comps = components(links)
     at = shared.select("band", "doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    met, met_at = stored(at.join(mixed, "band"))
+    met, met_at = stored(at.join(mixed, "band").distinct(), parts)
     discard(spark, shared_at)
-    fresh = materialize(_within_buckets(met, texts, k, percent))
+    fresh = materialize(_within_buckets(met, texts, k, percent), parts)
     discard(spark, met_at)
     if not fresh.isEmpty():
         comps = components(links.unionByName(_confirmed(fresh, texts, k, percent)))
@@ -342,6 +373,13 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that represent their group; rows without an id are not in any group and stay."""
-    kept = groups(docs, k, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that represent their group, as the module docstring says; its columns stay."""
+    parts = pieces_of(docs)
+    name = unused("rows", docs)
+    kept = groups(docs, k, percent).where("kept").groupBy("doc_id").agg(F.count("*").alias(name))
+    kept = materialize(kept, parts)
+    once = docs.join(kept.where(F.col(name) == 1).select("doc_id"), "doc_id", "left_semi")
+    if not kept.where(F.col(name) > 1).isEmpty():
+        more = docs.join(kept.where(F.col(name) > 1).select("doc_id"), "doc_id", "left_semi")
+        once = once.unionByName(more.dropDuplicates(["doc_id", "text"]))
+    return once.unionByName(docs.where("doc_id is null")).coalesce(4 * parts)

@@ -128,13 +128,34 @@ def test_blocks_find_the_links(monkeypatch):
     sets = [np.unique(rng.integers(0, 2**32, 50, dtype=np.uint32)) for _ in range(6)]
     sets += [np.unique(np.concatenate((sets[0][:48], rng.integers(0, 2**32, 2, dtype=np.uint32)))), sets[1].copy()]
     n = np.array([len(s) for s in sets])
-    found = near_dedup.linked_pairs(n, np.arange(8), sets, np.zeros(8, int), 80)
-    assert {frozenset(p) for p in found} == {frozenset((0, 6)), frozenset((1, 7))}
-    side = np.array([0, 0, 0, 0, 1, 1, 1, 1])
-    assert {frozenset(p) for p in near_dedup.linked_pairs(n, np.arange(8), sets, side, 80)} == {frozenset((0, 6)), frozenset((1, 7))}
+    every, want = np.arange(8), {frozenset((0, 6)), frozenset((1, 7))}
+    pairs = lambda left, right, sigs: {frozenset(p) for p in near_dedup.linked_pairs(n, every, sigs, left, right, 80)}
+    assert pairs(every, every, sets) == pairs(every[:4], every[4:], sets) == want
+    # one hash short of the threshold, as a collision would leave it: goes on to be confirmed
+    short = [*sets[:6], np.unique(np.concatenate((sets[0][:44], rng.integers(0, 2**32, 6, dtype=np.uint32)))), sets[1].copy()]
+    assert frozenset((0, 6)) in pairs(every, every, short)
     monkeypatch.setattr(near_dedup, "SIG", 30)  # sets larger than their signature
-    found = near_dedup.linked_pairs(n, np.arange(8), [s[:30] for s in sets], np.zeros(8, int), 80)
-    assert {frozenset((0, 6)), frozenset((1, 7))} <= {frozenset(p) for p in found}
+    assert want <= pairs(every, every, [s[:30] for s in sets])
+
+
+def test_near_buckets_of_many_blocks(spark, monkeypatch):
+    """A hot bucket in many blocks, and an id with two texts."""
+    monkeypatch.setattr(near_dedup, "LEFT", 3)
+    monkeypatch.setattr(near_dedup, "RIGHT", 5)
+    monkeypatch.setattr(near_dedup, "HUB", 4)
+    rng = random.Random(9)
+    base = prose(31, 80).split()
+    rows = []
+    for k in range(50):
+        w = list(base)
+        for _ in range(rng.choice((1, 6, 12))):
+            w[rng.randrange(len(w))] = f"other{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == near_brute(rows, 2, 80)
+    two = [(5, prose(1, 50)), (9, prose(1, 50)), (9, prose(2, 50)), (3, prose(2, 50)), (7, prose(3, 50))]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.groups(spark.createDataFrame(two, "doc_id long, text string"), 2).collect()}
+    assert got == {(5, 3), (9, 3), (3, 3), (7, 7)}
 
 
 def test_sketches_merge():
