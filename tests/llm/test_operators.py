@@ -257,19 +257,57 @@ def test_edit_copies_beside_a_smaller_id(spark, monkeypatch):
     assert {frozenset(p) for p in pairs} == {frozenset((0, 1)), frozenset((1, 3))}
 
 
-def test_suffix_array():
+def test_suffix_array(monkeypatch):
+    """Random strings over alphabets of all sizes, by buckets and by suffixes, down to the third recursion and further."""
     rng = np.random.default_rng(3)
-    for n, sigma in ((0, 2), (1, 2), (30, 1), (200, 2), (500, 4), (400, 200)):
-        s = rng.integers(0, sigma, n)
-        assert suffix_dedup.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+    for small in (suffix_dedup.SMALL_ALPHABET, 0):
+        monkeypatch.setattr(suffix_dedup, "SMALL_ALPHABET", small)
+        for n, sigma in ((0, 2), (1, 2), (30, 1), (200, 2), (500, 4), (400, 200), (900, 5000)):
+            s = rng.integers(0, sigma, n)
+            assert suffix_dedup.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+    calls = []
+    plain = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s: calls.append(len(s)) or plain(s))
+    text = np.frombuffer((prose(1, 4000) * 3).encode(), np.uint8)
+    sa = suffix_dedup.suffix_array(text)
+    assert len(calls) > 2 and sa.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tobytes())
+
+
+def rows_brute(rows):
+    """The definition for rows: equal ids with other texts are further documents, ordered by the text's hash."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    hashes = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t")).collect()}
+    return suffix_dedup.brute({(-(1 << 63) if i is None else i, hashes[t], t or ""): t for i, t in rows})
+
+
+def rows_digest(docs):
+    return sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(docs).collect())
+
+
+def test_suffix_dedup(spark, odd, none):
+    for rows in (
+        [(r[0], r[1]) for r in odd_rows()],
+        # one id with two texts, one of them short; null ids with texts of their own and one in common
+        [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(2, 60)), (2, "short"), (2, None), (3, prose(2, 60)), (None, prose(3, 50)), (None, prose(4, 50)), (None, prose(3, 50)), (4, prose(4, 50) + prose(3, 50))],
+    ):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        want = rows_brute(rows)
+        hashes = {k[2]: k for k in want}
+        expect = sorted((-(1 << 63) if i is None else i, *next(v for k, v in want.items() if k[0] == (-(1 << 63) if i is None else i) and k[2] == (t or ""))) for i, t in rows)
+        assert hashes and rows_digest(docs) == expect
+    assert suffix_dedup.digest(none).count() == 0 and suffix_dedup.digest(odd).count() == 15
 
 
-def test_suffix_dedup(odd, none):
-    rows = [(r[0], r[1]) for r in odd_rows()]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(odd).collect()}
-    want = suffix_dedup.brute({(-(1 << 63) if i is None else i): t for i, t in rows})
-    assert {(-(1 << 63) if i is None else i): v for i, v in got.items()} == want
-    assert suffix_dedup.digest(none).count() == 0 and suffix_dedup.digest(odd).count() == 15
+def test_strip_repeats_keeps_columns(spark, none):
+    rows = [(k, prose(1, 40) + prose(50 + k, 20), 7, 8, 9, "kept", None) for k in range(6)] + [(9, None, 1, 1, 1, "null", 0), (10, prose(1, 40), 1, 1, 1, "gone", 3), (11, "", 1, 1, 1, "empty", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _runs int, _h int, __id string, n_chars int")
+    got = {r.doc_id: r for r in suffix_dedup.strip_repeats(docs).collect()}
+    want = suffix_dedup.brute({r[0]: r[1] for r in rows})
+    assert suffix_dedup.strip_repeats(docs).columns == docs.columns and set(got) == {*range(6), 9, 11}
+    assert all(len(got[k].text.encode()) == want[k][0] - want[k][1] and got[k]["_runs"] == 8 and got[k]["__id"] == "kept" for k in range(6))
+    assert got[9].text is None and got[9].n_chars == 0 and got[0].n_chars is None and got[3].n_chars == len(got[3].text) and suffix_dedup.strip_repeats(none).count() == 0
 
 
 def test_suffix_dedup_hot(spark, monkeypatch):
