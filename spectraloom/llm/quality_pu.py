@@ -1,13 +1,16 @@
 """Operator 1: quality classifier by positive-unlabelled learning.
 
 Trusted positives and unlabelled text are set against each other through the non-negative unbiased
-risk of Kiryo et al. (2017): ``pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])``. The class
-prior ``pi`` is the share of positives among labelled training rows if both labels occur there, else
-the lower envelope of the unlabelled-to-positive density ratio of a first model.
+risk of Kiryo et al. (2017): ``pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)])``, with the
+logistic loss, so the sigmoid of the margin is the probability of a positive. The class prior ``pi`` is
+always estimated: a first model is trained on one half of the sample, and on the other half the least
+ratio of the unlabelled rows' tail mass to the positives' is taken. The two models, one of either half,
+are scaled on the half that they have not seen, by the same risk. Rows labelled 0 are used nowhere.
 
 Defined cases: a null text is the empty text, which gets a score like any other; rows repeat as they
 repeat in the input; an empty table gives an empty result; columns other than ``doc_id`` and ``text``
-are never read. Without any positive label every score is the prior, 0.5.
+are never read. Labels of a null id are not used; of several labels of one id a positive one counts.
+Without any positive label every score is 0.5.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import bounded_sample, byte_slices, byte_view, fold_of, words
+from spectraloom.llm.common import bounded_sample, byte_slices, byte_view, fold_of, unit_hash, words
 
-#: Bounds of the fitted sample: trusted positives, unlabelled rows, and rows for the calibration.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_CALIBRATION = 6000, 9000, 6000
+#: Bounds of the fitted sample: trusted positives and unlabelled rows.
+MAX_POSITIVE, MAX_UNLABELLED = 6000, 9000
 
 _KIND = np.full(256, 9, np.int64)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:", b"!?", b"'\"()[]-", b"|")):
@@ -69,7 +72,7 @@ def featurize(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Net:
-    """A standardised one-hidden-layer network and the logistic calibration of its margin."""
+    """A standardised one-hidden-layer network and the logistic scale of its margin."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -84,8 +87,16 @@ class Net:
         h = np.maximum(np.clip((x - self.mean) / self.scale, -8, 8) @ self.w1 + self.b1, 0)
         return h @ self.w2 + self.b2
 
+
+@dataclass
+class Pair:
+    """Two networks, each fitted to one half of the sample and scaled on the other; their mean logit scores."""
+
+    nets: list[Net]
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x).astype(np.float64) + self.shift, -30, 30)))
+        z = sum(n.slope * n.margin(x).astype(np.float64) + n.shift for n in self.nets) / len(self.nets)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, steps: int = 900, batch: int = 384, seed: int = 7) -> Net:
@@ -120,30 +131,36 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, s
 
 
 def estimate_prior(pos_margin: np.ndarray, unl_margin: np.ndarray) -> float:
-    """The positives' share of unlabelled rows from margins alone: the least ratio of tail masses, each with a confidence allowance."""
-    best = 1.0
-    for q in np.linspace(0.05, 0.9, 35):
+    """The positives' share of unlabelled rows from margins that no fit has seen.
+
+    Of the tails that hold a share of the positives, the one whose ratio of unlabelled to positive mass
+    is least with a confidence allowance; its plain ratio is the estimate (Garg et al., 2021).
+    """
+    slack = (0.5 * np.log(20) / len(pos_margin)) ** 0.5 + (0.5 * np.log(20) / len(unl_margin)) ** 0.5
+    best = (np.inf, 1.0)
+    for q in np.linspace(0.05, 0.98, 63):
         cut = np.quantile(pos_margin, 1 - q)
         own, there = (pos_margin >= cut).mean(), (unl_margin >= cut).mean()
-        slack = (1 / len(pos_margin)) ** 0.5 + (1 / len(unl_margin)) ** 0.5
-        if own > slack:
-            best = min(best, (there + slack) / (own - slack))
-    return float(np.clip(best, 0.05, 0.98))
-
-
-def calibrate(net: Net, x: np.ndarray, y: np.ndarray) -> Net:
-    """Fit slope and shift of the margin by logistic regression (Newton steps), with smoothed targets."""
-    z = net.margin(x).astype(np.float64)
-    mu, sd = z.mean(), z.std() + 1e-6
-    a = np.stack(((z - mu) / sd, np.ones_like(z)), 1)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        best = min(best, (there / own + slack * (1 + there / own) / own, there / own))
+    return float(np.clip(best[1], 0.01, 0.99))
+
+
+def scaled(net: Net, pos: np.ndarray, unl: np.ndarray, prior: float) -> Net:
+    """The net with slope and shift that minimise the unbiased risk of rows it was not fitted to.
+
+    With the logistic loss that risk is ``E_u[log(1 + exp(g))] - pi * E_p[g]``, convex in both (du Plessis et al., 2015).
+    """
+    zp, zu = net.margin(pos).astype(np.float64), net.margin(unl).astype(np.float64)
+    mean, scale = zu.mean(), zu.std() + 1e-6
+    a = np.stack(((zu - mean) / scale, np.ones(len(zu))), 1)
+    pull = prior * np.array([((zp - mean) / scale).mean(), 1.0])
     w = np.zeros(2)
-    for _ in range(30):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
-        w += np.linalg.solve(hess, a.T @ (t - p) - 1e-3 * w)
-    net.slope, net.shift = float(max(w[0], 0.0) / sd), float(w[1] - max(w[0], 0.0) * mu / sd)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a / len(zu) + 1e-4 * np.eye(2), pull - (a * p[:, None]).mean(0) - 1e-4 * w)
+        w += np.clip(step, -1, 1)
+    net.slope = float(max(w[0], 0.0) / scale)
+    net.shift = float(w[1] - net.slope * mean)
     return net
 
 
@@ -155,15 +172,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Net | None:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Pair | None:
     """Train on the rows outside the held-out fold; ``labels(doc_id, quality)``. None without a positive."""
     train = docs.select("doc_id", "text").where(fold_of("doc_id", folds) != held)
-    marks = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).where(fold_of("doc_id", folds) != held)
-    n = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
-    if not n.get(1):
+    marks = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label = 1 and doc_id is not null").select("doc_id").distinct().where(fold_of("doc_id", folds) != held)
+    n = marks.count()
+    if not n:
         return None
-    rate = F.when(F.col("label") == 1, min(1.0, (MAX_POSITIVE + MAX_CALIBRATION / 2) / n[1])).otherwise(min(1.0, MAX_CALIBRATION / 2 / max(1, n.get(0, 0))))
-    seen = train.join(F.broadcast(marks.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < rate * (1 << 30))), "doc_id").select("text", "label")
+    rate = min(1.0, MAX_POSITIVE / n)
+    seen = train.join(F.broadcast(marks.where(unit_hash(F.col("doc_id"), F.lit(11)) < rate)), "doc_id").select("text", F.lit(1).alias("label"))  # at most about MAX_POSITIVE ids
     free = bounded_sample(train, "doc_id", MAX_UNLABELLED, 12).select("text", F.lit(-1).alias("label"))
     got = seen.unionByName(free).mapInArrow(_features, "label int, x binary").toPandas()
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, N_FEATURES)
@@ -171,20 +188,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Ne
     pos, unl = x[y == 1], x[y == -1]
     if not len(pos) or not len(unl):
         return None
-    if n.get(0):
-        prior = min(n[1] / (n[0] + n[1]), 0.98)
-    else:
-        first = fit_nnpu(pos, unl, 0.5)
-        prior = estimate_prior(first.margin(pos), first.margin(unl))
-    net = fit_nnpu(pos, unl, prior)
-    if (y == 0).any():
-        # weight-free calibration at the labelled mix: positives are thinned to their share
-        keep = max(1, min(len(pos), int((y == 0).sum() * n[1] / n[0])))
-        net = calibrate(net, np.concatenate((pos[:keep], x[y == 0])), np.concatenate((np.ones(keep), np.zeros((y == 0).sum()))))
-    return net
+    if len(pos) < 2 or len(unl) < 2:
+        return Pair([fit_nnpu(pos, unl, 0.5)])
+    halves = [(pos[h::2], unl[h::2]) for h in (0, 1)]
+    first = [fit_nnpu(*half, 0.5) for half in halves]
+    prior = float(np.mean([estimate_prior(net.margin(p), net.margin(u)) for net, (p, u) in zip(first, halves[::-1], strict=True)]))
+    nets = [fit_nnpu(*half, prior, seed=k) for k, half in enumerate(halves)]
+    return Pair([scaled(net, p, u, prior) for net, (p, u) in zip(nets, halves[::-1], strict=True)])
 
 
-def score(docs: DataFrame, net: Net | None) -> DataFrame:
+def score(docs: DataFrame, net: Pair | None) -> DataFrame:
     """``docs(doc_id, text)`` plus ``score``, without the text; a pass over the input, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +210,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def filter_rows(docs: DataFrame, net: Net | None, threshold: float) -> DataFrame:
+def filter_rows(docs: DataFrame, net: Pair | None, threshold: float) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, all columns kept; one pass, no join."""
     schema = docs.schema
 
