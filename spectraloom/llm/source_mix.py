@@ -6,21 +6,26 @@ present weight, scaled so that the expected number of tokens is the budget, is t
 which each document of the cell is kept. A hash of the id makes the draw, so it repeats.
 
 Defined cases: null sources and languages are the category ``(null)``; null or empty texts have no
-tokens, and a cell without tokens keeps its documents with the largest probability in use, 1; repeated
-rows share their id's draw; empty tables give empty results. Targets of categories that do not occur
-are dropped and the rest scaled up.
+tokens, and a cell without tokens keeps its documents with probability 1; repeated rows share their
+id's draw; empty tables give empty results. Where a margin has given targets, a category with none, or
+with a share of 0 or null, has probability 0, with or without tokens; shares of one category add up;
+targets of categories that do not occur are dropped and the rest scaled up. Raking ends when the
+margins are met; where they cannot be (a cell that is needed is empty) it ends after ``ROUNDS`` rounds,
+``met`` is false in the result, and ``mix`` warns. Columns of the input may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import materialize
+from spectraloom.llm.common import materialize, unused
 
 MARGINS = ("source", "lang", "topic")
-#: Share of tokens to keep, the power that evens the present margins out, and rounds of raking.
-BUDGET, EVEN, ROUNDS = 0.8, 0.8, 8
+#: Share of tokens to keep, the power that evens the present margins out, the most rounds of raking, and the gap at which a margin is met.
+BUDGET, EVEN, ROUNDS, CLOSE = 0.8, 0.8, 40, 1e-6
 SEED = "mix-1"
 
 
@@ -39,47 +44,56 @@ def draw_of(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|" + seed)).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns ``_source, _lang, _topic, _tokens`` that raking uses."""
-    return docs.withColumns({"_source": F.coalesce("source", F.lit("(null)")), "_lang": F.coalesce("lang", F.lit("(null)")), "_topic": topic_of(F.col("text")), "_tokens": tokens_of(F.col("text"))})
-
-
-def cells_of(described: DataFrame) -> DataFrame:
-    named = [F.col("_" + m).alias(m) for m in MARGINS]
-    return described.groupBy(*named).agg(F.sum("_tokens").cast("double").alias("w"))
+def described(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its margins and tokens in working columns, and the names of these by what they hold."""
+    names = {x: unused("_" + x, docs) for x in (*MARGINS, "tokens", "p", "keep")}
+    made = {"source": F.coalesce("source", F.lit("(null)")), "lang": F.coalesce("lang", F.lit("(null)")), "topic": topic_of(F.col("text")), "tokens": tokens_of(F.col("text"))}
+    return docs.withColumns({names[x]: c for x, c in made.items()}), names
 
 
 def with_targets(cells: DataFrame, targets: dict[str, DataFrame] | None = None, even: float = EVEN) -> DataFrame:
-    """Each cell with the target share ``t_<margin>`` of its category: given as ``(category, share)``, else the present share to a power."""
-    out = cells.where("w > 0")
+    """``cells(source, lang, topic, w)`` with the target share ``t_<margin>`` of each category: given as ``(category, share)``, else the present share to a power."""
+    out = cells
     for m in MARGINS:
-        by = Window.partitionBy(m)
         if targets and m in targets:
-            out = out.join(targets[m].select(F.col("category").alias(m), F.col("share").cast("double").alias("t_" + m)), m)
+            share = targets[m].groupBy(F.col("category").alias(m)).agg(F.greatest(F.sum(F.col("share").cast("double")), F.lit(0.0)).alias("t_" + m))
         else:
-            out = out.withColumn("t_" + m, F.pow(F.sum("w").over(by), even))
+            share = cells.groupBy(m).agg(F.pow(F.sum("w"), F.lit(even)).alias("t_" + m))
+        out = out.join(share, m, "left").withColumn("t_" + m, F.coalesce("t_" + m, F.lit(0.0)))
+    out = materialize(out)
     for m in MARGINS:
-        # scaled on the distinct categories; there is one row for each, however many documents
-        total = out.select(m, "t_" + m).distinct().agg(F.sum("t_" + m)).first()[0] or 1.0
+        # scaled on the categories that occur; there is one row for each, however many documents
+        total = out.where("w > 0").groupBy(m).agg(F.max("t_" + m).alias("t")).agg(F.sum("t")).first()[0] or 1.0
         out = out.withColumn("t_" + m, F.col("t_" + m) / F.lit(total))
     return out
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-9) -> DataFrame:
-    """Cells with ``x``, the raked share, from ``w`` and ``t_<margin>``; cut into a checkpoint every second round."""
-    total = cells.agg(F.sum("w")).first()[0] or 1.0
-    out = cells.withColumn("x", F.col("w") / F.lit(total))
+def rake(cells: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-12) -> tuple[DataFrame, float]:
+    """The cells with tokens and targets, with ``x``, the raked share, from ``w`` and ``t_<margin>``; and the largest gap of a margin.
+
+    A margin is summed in the tasks before any shuffle and its factors are joined back, so a margin of
+    few categories is no bottleneck. Each round is a checkpoint.
+    """
+    out = cells.where("w > 0" + "".join(f" AND t_{m} > 0" for m in MARGINS))
+    total = out.agg(F.sum("w")).first()[0]
+    if not total:
+        return out.withColumn("x", F.lit(0.0)), 0.0
+    out, gap = materialize(out.withColumn("x", F.col("w") / F.lit(total)), 1), 0.0
+    parts = max(1, -(-out.count() // 100_000))
     for k in range(rounds):
-        gap = F.lit(0.0)
+        gaps = F.lit(0.0)
         for m in MARGINS:
-            have = F.sum("x").over(Window.partitionBy(m))
-            gap = F.greatest(gap, F.abs(have - F.col("t_" + m)))
-            out = out.withColumn("gap_" + m, F.abs(have - F.col("t_" + m))).withColumn("x", F.col("x") * F.col("t_" + m) / have)
-        if k % 2 == 1 or k == rounds - 1:
-            out = materialize(out)
-            if (out.agg(F.max(F.greatest(*[F.col("gap_" + m) for m in MARGINS]))).first()[0] or 0.0) < tolerance:
-                break
-    return out.drop(*["gap_" + m for m in MARGINS])
+            have = out.groupBy(m).agg(F.sum("x").alias("have"))
+            # the gap before the first margin is the one that the round before has left
+            gaps = F.greatest(gaps, F.abs(F.col("have") - F.col("t_" + m)))
+            out = out.join(have, m).withColumn("gap_" + m, gaps).withColumn("x", F.col("x") * F.col("t_" + m) / F.col("have")).drop("have")
+            gaps = F.col("gap_" + m)
+        out = materialize(out, parts)
+        gap = out.agg(F.max("gap_" + MARGINS[-1])).first()[0] or 0.0
+        out = out.drop(*["gap_" + m for m in MARGINS])
+        if gap < tolerance:
+            break
+    return out, gap
 
 
 def calibrate(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -95,29 +109,42 @@ def calibrate(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     return raked.select(*MARGINS, F.least(F.lit(1.0), F.lit(hi) * F.col("x") / F.col("w")).alias("p"))
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The input's rows with ``_tokens``, ``_p`` and ``_keep``. Cells are joined back: one row each, no copy of the documents is shuffled while they fit a broadcast."""
-    described = describe(docs)
-    cells = materialize(cells_of(described))
-    p = materialize(calibrate(rake(with_targets(cells, targets)), budget)).select(*[F.col(m).alias("_" + m) for m in MARGINS], F.col("p").alias("_p"))
-    n_cells = p.count()
-    if n_cells <= 100_000:  # checked: at most a few MB
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> tuple[DataFrame, dict[str, str], bool]:
+    """The input's rows with tokens, probability and draw in working columns, the names of these, and whether the margins are met.
+
+    Cells are joined back: one row each, no copy of the documents is shuffled while they fit a broadcast.
+    """
+    rows, names = described(docs)
+    cells = materialize(rows.groupBy(*[F.col(names[m]).alias(m) for m in MARGINS]).agg(F.sum(names["tokens"]).cast("double").alias("w")))
+    aimed = with_targets(cells, targets)
+    raked, gap = rake(aimed)
+    given = F.lit(True)
+    for m in targets or {}:
+        given = given & (F.col("t_" + m) > 0)
+    # cells that were not raked: barred by a target of 0, or without tokens
+    p = aimed.join(calibrate(raked, budget), list(MARGINS), "left").select(*[F.col(m).alias(names[m]) for m in MARGINS], F.when(~given, 0.0).otherwise(F.coalesce("p", F.lit(1.0))).alias(names["p"]))
+    p = materialize(p)
+    if p.count() <= 100_000:  # checked: at most a few MB
         p = F.broadcast(p)
-    out = described.join(p, ["_" + m for m in MARGINS], "left").withColumn("_p", F.coalesce("_p", F.lit(1.0)))
-    return out.withColumn("_keep", draw_of(F.col("doc_id")) < F.col("_p"))
+    out = rows.join(p, [names[m] for m in MARGINS], "left")
+    return out.withColumn(names["keep"], draw_of(F.col("doc_id")) < F.col(names["p"])), names, gap < CLOSE
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The documents drawn, with the columns of ``docs``."""
-    return probabilities(docs, targets, budget).where("_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents drawn, with the columns of ``docs``; a warning says if the margins could not be met."""
+    rows, names, met = probabilities(docs, targets, budget)
+    if not met:
+        warnings.warn("the target margins cannot all be met by the cells there are", stacklevel=2)
+    return rows.where(F.col(names["keep"])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def weigh(docs: DataFrame) -> DataFrame:
-    """``doc_id, topic, n_tokens, p, kept`` for every row of ``docs``; ``p`` is rounded to 9 places."""
-    return probabilities(docs.select("doc_id", "text", "source", "lang")).select("doc_id", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_p", 9).alias("p"), F.col("_keep").alias("kept"))
+def weigh(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``doc_id, topic, n_tokens, p, kept, met`` for every row of ``docs``; ``p`` is rounded to 6 places."""
+    rows, names, met = probabilities(docs.select("doc_id", "text", "source", "lang"), targets)
+    return rows.select("doc_id", F.col(names["topic"]).alias("topic"), F.col(names["tokens"]).alias("n_tokens"), F.round(names["p"], 6).alias("p"), F.col(names["keep"]).alias("kept"), F.lit(met).alias("met"))
 
 
-def mix_sql(table: str = "documents", budget: float = BUDGET, even: float = EVEN, rounds: int = ROUNDS) -> str:
+def mix_sql(table: str = "documents", budget: float = BUDGET, even: float = EVEN, rounds: int = 24) -> str:
     """DuckDB SQL for ``weigh``: raking and grid refinement are unrolled."""
     ctes = [f"""d AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
   CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), 'icens') THEN 'notice'
@@ -139,8 +166,9 @@ def mix_sql(table: str = "documents", budget: float = BUDGET, even: float = EVEN
         ctes.append(f"""g{k + 1} AS MATERIALIZED (SELECT coalesce(max(s) FILTER (WHERE got < {budget}::DOUBLE * (SELECT sum(w) FROM c)), min(s)) AS lo,
   coalesce(min(s) FILTER (WHERE got >= {budget}::DOUBLE * (SELECT sum(w) FROM c)), max(s)) AS hi
   FROM (SELECT s, (SELECT sum(least(w, s * x)) FROM {last}) AS got FROM (SELECT lo + (hi - lo) * k / 64 AS s FROM g{k}, range(65) r(k))))""")
+    gaps = " UNION ALL ".join(f"SELECT abs(sum(x) - max(t_{m})) AS gap FROM {last} GROUP BY {m}" for m in MARGINS)
     return "WITH " + ",\n".join(ctes) + f"""
-SELECT doc_id, topic, n_tokens, round(p, 9) AS p,
+SELECT doc_id, topic, n_tokens, round(p, 6) AS p, (SELECT max(gap) FROM ({gaps})) < {CLOSE} AS met,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|{SEED}'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < p AS kept
 FROM (SELECT d.doc_id, d.topic, d.n_tokens, coalesce(least(1.0::DOUBLE, (SELECT hi FROM g6) * x / w), 1.0) AS p
       FROM d LEFT JOIN {last} USING (source, lang, topic))"""

@@ -186,14 +186,44 @@ def test_toxicity(spark, odd, none, sf1):
     assert got["score"].between(0, 1).all() and auc(got["score"], got["toxic"]) > 0.85
 
 
+def maximal_brute(xs, lo=0):
+    """The recursive definition: the best segment (the shortest of equals), then those left and right of it."""
+    best = max(((sum(xs[a:b]), -(b - a), -a) for a in range(len(xs)) for b in range(a + 1, len(xs) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    a, b = -best[2], -best[2] - best[1]
+    return [*maximal_brute(xs[:a], lo), (lo + a, lo + b - 1, best[0]), *maximal_brute(xs[b:], lo + b)]
+
+
 def test_segments_are_maximal():
     rng = random.Random(0)
-    for _ in range(200):
-        xs = [rng.choice([-2.0, -1.0, 1.0, 3.0]) for _ in range(rng.randrange(1, 14))]
-        got = toxicity.maximal_segments([(i, x) for i, x in enumerate(xs)], -1.0)
-        best = max((sum(xs[a:b]) for a in range(len(xs)) for b in range(a + 1, len(xs) + 1)), default=0)
-        assert max((s for _, _, s in got), default=0) == max(best, 0)
-        assert all(s == sum(xs[a : b + 1]) for a, b, s in got)
+    for _ in range(300):
+        xs = [rng.choice([-2.0, -1.0, -0.5, 1.0, 3.0]) + rng.randrange(100) / 4096 for _ in range(rng.randrange(0, 14))]
+        assert [(a, b, round(s, 9)) for a, b, s in toxicity.maximal_segments(np.array(xs))] == [(a, b, round(s, 9)) for a, b, s in maximal_brute(xs)]
+
+
+def test_toxic_passages(spark):
+    """Every planted passage is found, and nothing of clean texts."""
+    rng = random.Random(4)
+    bad = ["vile", "scorn", "filth", "wretch"]
+    rows, marks, where = [], [], {}
+    for k in range(300):
+        w = [rng.choice(WORDS) for _ in range(80)]
+        if k % 3 == 0:
+            for at in (20, 60)[: 1 + k % 2]:
+                w[at : at + 4] = rng.sample(bad, 4)
+                where.setdefault(k, []).append(at)
+        rows.append((k, " ".join(w)))
+        marks.append((k, int(k % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lex = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    got = {}
+    for r in toxicity.passages(docs, lex, 0.01).collect():
+        text = rows[r.doc_id][1]
+        got.setdefault(r.doc_id, set()).update(range(len(text[: r.start].split()), len(text[: r.end].split())))
+    # near passages may be one maximal segment with what is between
+    assert set(got) == set(where) and all(set(range(at, at + 4)) <= got[k] for k, ats in where.items() for at in ats)
+    assert toxicity.segments("Vile filth", lex)[0][0][:2] == (0, 10) and toxicity.segments(None, lex) == ([], 0)
 
 
 def test_edit_print(spark, odd, none):
@@ -377,8 +407,23 @@ def test_mix(spark, odd, none):
     assert all(r.kept for r in rows if r.p == 1)
     cells = spark.createDataFrame([("a", "en", "t", 60.0), ("a", "de", "t", 20.0), ("b", "en", "t", 10.0), ("b", "de", "t", 10.0)], "source string, lang string, topic string, w double")
     share = lambda **x: spark.createDataFrame(list(x.items()), "category string, share double")
-    x = source_mix.rake(source_mix.with_targets(cells, {"source": share(a=0.5, b=0.5), "lang": share(en=0.4, de=0.6), "topic": share(t=1.0)}), 40).toPandas()
-    assert x.groupby("source")["x"].sum().round(6).tolist() == [0.5, 0.5] and x.groupby("lang")["x"].sum().round(6).to_dict() == {"de": 0.6, "en": 0.4}
+    x, gap = source_mix.rake(source_mix.with_targets(cells, {"source": share(a=0.5, b=0.5), "lang": share(en=0.4, de=0.6), "topic": share(t=1.0)}))
+    x = x.toPandas()
+    assert gap < 1e-9 and x.groupby("source")["x"].sum().round(6).tolist() == [0.5, 0.5] and x.groupby("lang")["x"].sum().round(6).to_dict() == {"de": 0.6, "en": 0.4}
+
+
+def test_mix_targets(spark):
+    """Shares of 0, categories without a target, margins that cannot be met, and columns named like working ones."""
+    rows = [(k, "some words of a text" if k % 10 else "", "abc"[k % 3], "en" if k % 2 else "de", 1, 2, "kept") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, _tokens int, _p int, __keep string")
+    share = lambda **x: spark.createDataFrame(list(x.items()), "category string, share double")
+    got = source_mix.weigh(docs, {"source": share(a=1.0, b=0.0, z=3.0), "lang": share(en=0.5, de=0.5)}).join(docs.select("doc_id", "source"), "doc_id").collect()
+    assert {r.p > 0 for r in got if r.source != "a"} == {False} and all(r.p > 0 for r in got if r.source == "a") and all(r.met for r in got)
+    kept = source_mix.mix(docs, {"source": share(a=1.0)})
+    assert kept.columns == docs.columns and {(r.source, r["_p"], r["_tokens"], r["__keep"]) for r in kept.collect()} == {("a", 2, 1, "kept")}
+    lone = spark.createDataFrame([(1, "a word", "a", "en"), (2, "a word", "b", "de")], "doc_id long, text string, source string, lang string")
+    with pytest.warns(UserWarning, match="margins"):
+        source_mix.mix(lone, {"source": share(a=0.5, b=0.5), "lang": share(en=0.9, de=0.1)})
 
 
 def test_pieces(spark, odd, none):
