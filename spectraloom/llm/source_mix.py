@@ -10,8 +10,8 @@ tokens, and a cell without tokens keeps its documents with probability 1; repeat
 id's draw; empty tables give empty results. Where a margin has given targets, a category with none, or
 with a share of 0 or null, has probability 0, with or without tokens; shares of one category add up;
 targets of categories that do not occur are dropped and the rest scaled up. Raking ends when the
-margins are met; where they cannot be (a cell that is needed is empty) it ends after ``ROUNDS`` rounds,
-``met`` is false in the result, and ``mix`` warns. Columns of the input may have any names.
+margins are met; where they cannot be (a cell that is needed is empty) it ends when the gap no longer
+falls, ``met`` is false in the result, and ``mix`` warns. Columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -89,9 +89,9 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-12) -> tu
             out = out.join(have, m).withColumn("gap_" + m, gaps).withColumn("x", F.col("x") * F.col("t_" + m) / F.col("have")).drop("have")
             gaps = F.col("gap_" + m)
         out = materialize(out, parts)
-        gap = out.agg(F.max("gap_" + MARGINS[-1])).first()[0] or 0.0
+        before, gap = gap, out.agg(F.max("gap_" + MARGINS[-1])).first()[0] or 0.0
         out = out.drop(*["gap_" + m for m in MARGINS])
-        if gap < tolerance:
+        if gap < tolerance or k and gap > 0.99 * before:  # met, or no longer falling
             break
     return out, gap
 
