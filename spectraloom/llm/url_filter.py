@@ -7,7 +7,7 @@ of its own. An explicit allow comes first: it decides its own URL, and in a comp
 no block is passed on.
 
 Defined cases: a URL that is null or has no ``://`` has an empty host and path, meets no rule and is
-allowed unless an alias is blocked; null html has no edge; repeated rows stay repeated; empty tables
+allowed unless an alias is blocked; null html has no edge; targets may be relative; repeated rows stay repeated; empty tables
 give empty results; other columns are ignored. Rules are a driver-side list of at most ``MAX_RULES``.
 """
 
@@ -51,6 +51,27 @@ def key_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1))
 
 
+def _without_dots(path: Column) -> Column:
+    """``path``, which begins with a slash, without the segments ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), step), "/"))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """``target`` of a link in the page ``url``, absolute and without its fragment; null if it is the page itself."""
+    t = target
+    for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(name), F.lit(char))
+    t = F.regexp_replace(F.trim(t), r"(?s)#.*$", "")
+    path, query = F.regexp_extract(t, r"(?s)^([^?]*)", 1), F.regexp_extract(t, r"(?s)(\?.*)$", 1)
+    site, base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    folder = F.coalesce(F.nullif(F.regexp_extract(base, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    whole = F.when(t == "", None).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t).when(t.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?):", 1), F.lit(":"), t))
+    return whole.when(path == "", F.concat(site, base, query)).when(t.startswith("/"), F.concat(site, _without_dots(path), query)).otherwise(F.concat(site, _without_dots(F.concat(folder, path)), query))
+
+
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """``src, dst`` nodes from canonical links and refreshes in ``pages(url, html)`` and from ``redirects(url, target)``."""
     # most pages have neither tag: a substring test comes before any regular expression
@@ -62,8 +83,7 @@ def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
     if redirects is not None:
         found = found.unionByName(redirects.select("url", "target"))
     found = found.where("target is not null and target <> ''")
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    full = F.when(F.col("target").startswith("//"), F.concat(F.lit("http:"), "target")).when(F.col("target").startswith("/"), F.concat(site, "target")).otherwise(F.col("target"))
+    full = resolved(F.col("url"), F.col("target"))
     return found.select(key_of(F.col("url")).alias("src"), key_of(full).alias("dst")).where("src <> '' and dst <> ''")
 
 
