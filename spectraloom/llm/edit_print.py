@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import components, materialize
@@ -299,7 +299,7 @@ def _within_buckets(met: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     return rows.join(texts, "doc_id").repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "doc_id", "component", "text", "side").mapInArrow(meet, "src long, dst long").distinct()
 
 
-def near_copies(docs: DataFrame, most_edits: int = 16, bands: int = 24, digits: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, most_edits: int = 16, bands: int = 64, digits: int = 6) -> DataFrame:
     """``doc_id, component_id`` by bit-sampled banding of fingerprints and verified edit distance, for texts of non-null ids.
 
     Equal texts are one text first. In each band each text meets the smallest id of its bucket, so a
@@ -318,8 +318,10 @@ def near_copies(docs: DataFrame, most_edits: int = 16, bands: int = 24, digits:
             yield pa.RecordBatch.from_arrays([batch.column("src").filter(pa.array(ok)), batch.column("dst").filter(pa.array(ok))], ["src", "dst"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    classes = materialize(rows.select("doc_id", F.sha2("text", 256).alias("h")).withColumn("rep", F.min("doc_id").over(Window.partitionBy("h"))).select("doc_id", "rep"))
-    reps = rows.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
+    hashed = rows.select("doc_id", F.sha2("text", 256).alias("h")).distinct()
+    # a minimum in the tasks before the shuffle: the commonest text, the empty one maybe, is no bottleneck
+    classes = materialize(hashed.join(hashed.groupBy("h").agg(F.min("doc_id").alias("rep")), "h").select("doc_id", "rep"))
+    reps = rows.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
     marks = reps.mapInArrow(prints, "doc_id long, fingerprint string")
     rng = np.random.default_rng(5)
     keys = [F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", int(p) + 1, 1) for p in rng.choice(SAMPLES, digits, False)]) for k in range(bands)]
