@@ -1,14 +1,16 @@
 """Operator 10: SentencePiece encoding and decoding by streaming Viterbi.
 
-The best path maximises the sum of the piece scores stored in the model file, as the lattice decoder
-of the public library does for a unigram model. Only the scores and back pointers of the last ``longest`` boundaries are
-kept, ``longest`` being the length of the longest piece: whenever the back-pointer paths of all of
-them meet in one boundary, the ids up to it are final and leave the window. No piece holds a space
-after another character, so paths always meet before a word; words between such boundaries are
-remembered, in two generations of bounded size, and not solved again.
-
-The vocabulary file (``piece_bpe_32k.model``) stores byte-pair ranks as scores; they are used as they
-stand. Tests compare ids with the library's lattice decoder over the same pieces and scores.
+The best path maximises the sum of the pieces' log-probabilities, as the lattice decoder of the public
+library does for a unigram model. Only the scores and back pointers since the last commit are kept:
+whenever the back-pointer paths of all boundaries that a piece may still start from, at most as many as
+the longest piece has characters, meet in one boundary, the ids up to it are final and leave the
+window. No piece holds a space after another character, so paths always meet before a word; words
+between such boundaries that fit the window are solved in one go and remembered, in two generations of
+bounded size, and not solved again.
+
+The vocabulary file (``piece_bpe_32k.model``) holds no probabilities: its scores are byte-pair ranks,
+whose sum means nothing. Tokenizers are not trained here, so a piece of rank r has the weight of the
+Zipf-Mandelbrot law, ``1 / (SHIFT + r)``, which favours few and frequent pieces.
 
 Text is neither lower-cased nor otherwise normalised: a dummy space is put in front and spaces become
 U+2581. A U+2581 of the text itself, and any character that no piece holds, becomes its UTF-8 bytes,
@@ -23,6 +25,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from math import log
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +35,10 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm.common import byte_slices, byte_view
 
+#: The vocabulary file, unless the session's ``spectraloom.pieces.model`` or the caller names another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The shift of the Zipf-Mandelbrot law.
+SHIFT = 1000.0
 SPACE = "▁"
 #: Words remembered in each of two generations.
 MEMORY = 250_000
@@ -60,7 +66,7 @@ class Pieces:
                 self.byte_ids[self.raw[k][0]] = k
             elif not sp.is_control(k) and not sp.is_unknown(k) and not sp.is_unused(k):
                 self.raw[k] = piece.replace(SPACE, " ").encode()
-                scores.append(sp.get_score(k))
+                scores.append(-log(SHIFT - min(sp.get_score(k), 0.0)))
                 for end in range(1, len(piece)):
                     self.trie.setdefault(piece[:end].replace(SPACE, " "), (_NONE, -1))
                 self.trie[piece.replace(SPACE, " ")] = (scores[-1], k)
@@ -217,13 +223,17 @@ def load(model: bytes) -> Pieces:
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, check: bool = True) -> DataFrame:
+def _model(df: DataFrame, path: str | None) -> bytes:
+    return Path(path or df.sparkSession.conf.get("spectraloom.pieces.model", MODEL)).read_bytes()
+
+
+def encode(docs: DataFrame, model_path: str | None = None, check: bool = True) -> DataFrame:
     """The rows of ``docs`` as ``doc_id, ids array<int>, n_ids, ids_sha256, decoded_sha256, exact``.
 
     ``decoded_sha256`` is of the text that decoding gives, ``exact`` whether it is the input. One
     pass, no shuffle; the model file (half a megabyte, read on the driver) goes along with the tasks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    shared = docs.sparkSession.sparkContext.broadcast(_model(docs, model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(shared.value)
@@ -251,9 +261,9 @@ def encode(docs: DataFrame, model_path: str = MODEL, check: bool = True) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_ids long, ids_sha256 string" + more)
 
 
-def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """``doc_id, text`` from ``encoded(doc_id, ids)``; null ids give the empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    shared = encoded.sparkSession.sparkContext.broadcast(_model(encoded, model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(shared.value)
