@@ -99,7 +99,7 @@ class Pair:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, steps: int = 900, batch: int = 384, seed: int = 7) -> Net:
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 24, steps: int = 600, batch: int = 384, seed: int = 7) -> Net:
     """Minimise the non-negative risk with the logistic loss by Adam; where the negative part dips below zero its gradient is turned round."""
     rng = np.random.default_rng(seed)
     both = np.concatenate((pos, unl))
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Pa
     if len(pos) < 2 or len(unl) < 2:
         return Pair([fit_nnpu(pos, unl, 0.5)])
     halves = [(pos[h::2], unl[h::2]) for h in (0, 1)]
-    first = [fit_nnpu(*half, 0.5) for half in halves]
+    first = [fit_nnpu(*half, 0.5, steps=300) for half in halves]
     prior = float(np.mean([estimate_prior(net.margin(p), net.margin(u)) for net, (p, u) in zip(first, halves[::-1], strict=True)]))
     nets = [fit_nnpu(*half, prior, seed=k) for k, half in enumerate(halves)]
     return Pair([scaled(net, p, u, prior) for net, (p, u) in zip(nets, halves[::-1], strict=True)])

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import materialize, unused
@@ -27,6 +27,8 @@ MARGINS = ("source", "lang", "topic")
 #: Share of tokens to keep, the power that evens the present margins out, the most rounds of raking, and the gap at which a margin is met.
 BUDGET, EVEN, ROUNDS, CLOSE = 0.8, 0.8, 40, 1e-6
 SEED = "mix-1"
+#: Cells that are raked in one task; a few MB.
+FEW = 50_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -52,46 +54,50 @@ def described(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def with_targets(cells: DataFrame, targets: dict[str, DataFrame] | None = None, even: float = EVEN) -> DataFrame:
-    """``cells(source, lang, topic, w)`` with the target share ``t_<margin>`` of each category: given as ``(category, share)``, else the present share to a power."""
+    """``cells(source, lang, topic, w)`` with the target share ``t_<margin>`` of each category: given as ``(category, share)``, else the present share to a power; scaled over the categories that occur."""
     out = cells
     for m in MARGINS:
+        here = cells.groupBy(m).agg(F.sum("w").alias("w"))
         if targets and m in targets:
-            share = targets[m].groupBy(F.col("category").alias(m)).agg(F.greatest(F.sum(F.col("share").cast("double")), F.lit(0.0)).alias("t_" + m))
+            share = targets[m].groupBy(F.col("category").alias(m)).agg(F.greatest(F.sum(F.col("share").cast("double")), F.lit(0.0)).alias("t"))
+            share = here.join(share, m, "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
         else:
-            share = cells.groupBy(m).agg(F.pow(F.sum("w"), F.lit(even)).alias("t_" + m))
-        out = out.join(share, m, "left").withColumn("t_" + m, F.coalesce("t_" + m, F.lit(0.0)))
-    out = materialize(out)
-    for m in MARGINS:
-        # scaled on the categories that occur; there is one row for each, however many documents
-        total = out.where("w > 0").groupBy(m).agg(F.max("t_" + m).alias("t")).agg(F.sum("t")).first()[0] or 1.0
-        out = out.withColumn("t_" + m, F.col("t_" + m) / F.lit(total))
+            share = here.withColumn("t", F.pow("w", F.lit(even)))
+        # one row for each category, however many documents
+        total = F.coalesce(F.nullif(F.sum(F.when(F.col("w") > 0, F.col("t"))).over(Window.partitionBy(F.lit(0))), F.lit(0.0)), F.lit(1.0))
+        out = out.join(share.select(m, (F.col("t") / total).alias("t_" + m)), m)
     return out
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-12) -> tuple[DataFrame, float]:
     """The cells with tokens and targets, with ``x``, the raked share, from ``w`` and ``t_<margin>``; and the largest gap of a margin.
 
-    A margin is summed in the tasks before any shuffle and its factors are joined back, so a margin of
-    few categories is no bottleneck. Each round is a checkpoint.
+    Up to ``FEW`` cells are raked in one task, several rounds a job. More are summed in the tasks before
+    any shuffle and the factors joined back, so a margin of few categories is no bottleneck.
     """
-    out = cells.where("w > 0" + "".join(f" AND t_{m} > 0" for m in MARGINS))
-    total = out.agg(F.sum("w")).first()[0]
+    out = materialize(cells.where("w > 0" + "".join(f" AND t_{m} > 0" for m in MARGINS)))
+    total, n = out.agg(F.sum("w"), F.count("*")).first()
     if not total:
         return out.withColumn("x", F.lit(0.0)), 0.0
-    out, gap = materialize(out.withColumn("x", F.col("w") / F.lit(total)), 1), 0.0
-    parts = max(1, -(-out.count() // 100_000))
+    few, gap = n <= FEW, 0.0
+    out = (out.coalesce(1) if few else out).withColumn("x", F.col("w") / F.lit(total))
     for k in range(rounds):
         gaps = F.lit(0.0)
         for m in MARGINS:
-            have = out.groupBy(m).agg(F.sum("x").alias("have"))
+            if few:
+                out = out.withColumn("have", F.sum("x").over(Window.partitionBy(m)))
+            else:
+                out = out.join(out.groupBy(m).agg(F.sum("x").alias("have")), m)
             # the gap before the first margin is the one that the round before has left
-            gaps = F.greatest(gaps, F.abs(F.col("have") - F.col("t_" + m)))
-            out = out.join(have, m).withColumn("gap_" + m, gaps).withColumn("x", F.col("x") * F.col("t_" + m) / F.col("have")).drop("have")
+            out = out.withColumn("gap_" + m, F.greatest(gaps, F.abs(F.col("have") - F.col("t_" + m)))).withColumn("x", F.col("x") * F.col("t_" + m) / F.col("have")).drop("have")
             gaps = F.col("gap_" + m)
-        out = materialize(out, parts)
+        if few and k % 4 != 3 and k < rounds - 1:
+            out = out.drop(*["gap_" + m for m in MARGINS])
+            continue
+        out = materialize(out, max(1, -(-n // FEW)))
         before, gap = gap, out.agg(F.max("gap_" + MARGINS[-1])).first()[0] or 0.0
         out = out.drop(*["gap_" + m for m in MARGINS])
-        if gap < tolerance or k and gap > 0.99 * before:  # met, or no longer falling
+        if gap < tolerance or before and gap > 0.99 * before:  # met, or no longer falling
             break
     return out, gap
 
@@ -116,7 +122,7 @@ def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
     """
     rows, names = described(docs)
     cells = materialize(rows.groupBy(*[F.col(names[m]).alias(m) for m in MARGINS]).agg(F.sum(names["tokens"]).cast("double").alias("w")))
-    aimed = with_targets(cells, targets)
+    aimed = materialize(with_targets(cells, targets))
     raked, gap = rake(aimed)
     given = F.lit(True)
     for m in targets or {}:

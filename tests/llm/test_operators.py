@@ -179,6 +179,25 @@ def test_topk(spark):
     assert inner_topk.search(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")).count() == 2
 
 
+def test_topk_of_any_size(spark, monkeypatch):
+    """Components of any finite size, exact beyond doubles and beyond longs, in many blocks; ties in length."""
+    rng = np.random.default_rng(6)
+    rows = [(k, (rng.normal(0, 1, 4) * 10.0 ** rng.choice((0, 0, 3, 5, 6, 8))).tolist()) for k in range(160)]
+    rows[20] = (20, [3e5, 0.0, 0.0, 0.0])
+    rows[1] = (1, [4e5, 1.0, 0.0, 0.0])
+    rows[40] = (40, [1e30, -1e30, 2.0, 0.0])
+    rows[60] = rows[61] = (60, [0.0] * 4)
+    monkeypatch.setattr(inner_topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(inner_topk, "CAND_ROWS", 16)
+    monkeypatch.setattr(inner_topk, "HEAD_ROWS", 30)
+    got = inner_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    frame = pd.DataFrame(rows, columns=["vec_id", "embedding"])
+    want = inner_topk.brute(frame)
+    order = ["query_id", "rank", "score", "vec_id"]
+    got, want = (x[["query_id", "rank", "vec_id", "score"]].astype("int64").sort_values(order).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want)
+
+
 def test_toxicity(spark, odd, none, sf1):
     marks = labels_of(spark, "toxic", "quality")
     assert toxicity.classify(odd, marks).count() == 15 and toxicity.classify(none, marks).count() == 0
@@ -401,6 +420,40 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge(pages, moved).collect()}[9] == "block"
 
 
+def test_urls_relative(spark):
+    """Targets are resolved as the standard library does, and verdicts equal a union-find over the edges."""
+    from urllib.parse import urljoin, urlsplit
+
+    targets = ["home", "../b", "./c", "?q=1", "/x/../y", "//other.net/fr/1", "http://B.org/z#f", "a/b/../../d?e=/../f", "..", ".", "../../../up", "#top", "p?x=1&amp;y=2", "https://sub.x.net", "g;h=1/./i"]
+    bases = ["http://a.org/one/two/page.html?k=v", "http://a.org", "https://a.org/dir/"]
+    rows = spark.createDataFrame([(b, t) for b in bases for t in targets], "url string, target string")
+    for r in rows.select("url", "target", url_filter.resolved(F.col("url"), F.col("target")).alias("full")).collect():
+        want = None if r.target == "#top" else urljoin(r.url, r.target.replace("&amp;", "&")).split("#")[0]
+        path = lambda u: u if u is None or urlsplit(u).path else u + "/"
+        assert path(r.full) == path(want), r
+    rng = random.Random(2)
+    urls = [f"http://h{k}.{('com', 'org', 'net')[k % 3]}/{('es', 'xx', 'fr', 'deep/er')[k % 4]}/{k}" for k in range(60)]
+    pages, low = [], {u: u for u in urls}
+    for k, u in enumerate(urls):
+        v = rng.choice(urls)
+        html = (f'<link rel="canonical" href="{v}">', f'<META HTTP-EQUIV=refresh content="3; URL={v}">', "<p>none</p>")[k % 3]
+        pages.append((k, u, html))
+        if k % 3 < 2:
+            a, b = low[u], low[v]
+            low = {x: a if y == b else y for x, y in low.items()}
+    moved = [(urls[5], "../es/../xx/1"), (urls[8], urls[9])]
+    for u, t in moved:
+        a, b = low[u], low.get(urljoin(u, t), urljoin(u, t))
+        low = {x: a if y == b else y for x, y in low.items()}
+    kind = lambda u: "allow" if ".com/" in u else "block" if ".net/es/" in u or ".net/fr/" in u else None
+    held = {}
+    for u, root in low.items():
+        held.setdefault(root, set()).add(kind(u))
+    want = {k: kind(u) or ("block" if "block" in held[low[u]] and "allow" not in held[low[u]] else "allow") for k, u in enumerate(urls)}
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(moved, "url string, target string"))
+    assert {r.page_id: r.verdict for r in got.collect()} == want and "block" in want.values()
+
+
 def test_mix(spark, odd, none):
     rows = source_mix.weigh(odd).collect()
     assert len(rows) == 15 and all(0 <= r.p <= 1 for r in rows) and source_mix.weigh(none).count() == 0
@@ -444,6 +497,38 @@ def test_pieces_window():
             assert np.frombuffer(p.encode_bytes(text[1:]), np.int32).tolist() == streamed
 
 
+def test_pieces_are_the_best_path():
+    """Against a plain search over all cuttings, with the pieces read anew from the file."""
+    from functools import cache
+    from math import log
+    from pathlib import Path
+
+    from sentencepiece import SentencePieceProcessor
+
+    raw = Path(pieces.MODEL).read_bytes()
+    lib, own = SentencePieceProcessor(model_proto=raw), pieces.load(raw)
+    vocab = {lib.id_to_piece(k).replace("▁", " "): k for k in range(lib.vocab_size()) if not (lib.is_byte(k) or lib.is_control(k) or lib.is_unknown(k))}
+    weight = lambda k: -log(pieces.SHIFT - lib.get_score(k))
+    worst = min(map(weight, vocab.values())) - 10
+
+    def best(text):
+        @cache
+        def tail(i):
+            if i == len(text):
+                return 0.0, ()
+            out = [(worst + tail(i + 1)[0], tuple(lib.piece_to_id(f"<0x{b:02X}>") for b in text[i].encode()) + tail(i + 1)[1])] if text[i] not in vocab else []
+            return max(out + [(weight(vocab[text[i:j]]) + tail(j)[0], (vocab[text[i:j]], *tail(j)[1])) for j in range(i + 1, len(text) + 1) if text[i:j] in vocab], key=lambda x: x[0])
+
+        return tail(0)
+
+    score = lambda ids: sum(worst / 4 if lib.is_byte(k) else weight(k) for k in ids)
+    for text in (prose(3, 6), "unbelievable größe", "über  die   Straße", "日本語 x 😀 y", "a" * 40, "Ünd, wie-geht's (so)?", "12,345.678 km/h"):
+        total, ids = best(" " + text)
+        got = own.encode(text)
+        assert got == list(ids) or score(got) == pytest.approx(score(ids)), text
+        assert own.decode(got) == text and total < 0
+
+
 def test_components(spark):
     from spectraloom.llm.common import components
 
