@@ -208,7 +208,7 @@ SELECT a.model, a.cond, a.n AS all_n, round(a.m, 6) AS all_mean, coalesce(b.n, 0
 m AS (SELECT r.*, l.qid IS NULL AS clean FROM r LEFT JOIN l ON r.model = l.model AND r.qid = l.qid),
 a AS (SELECT model, cond, avg(ach) AS achieved, avg(em) AS em, avg(em) FILTER (clean) AS em_filtered, avg(f1) AS f1, avg(f1) FILTER (clean) AS f1_filtered FROM m GROUP BY ALL)
 SELECT model, cond, round(achieved, 6) AS achieved, round(em, 6) AS em, round(em_filtered, 6) AS em_filtered, round(f1, 6) AS f1, round(f1_filtered, 6) AS f1_filtered, round(CASE WHEN achieved < 1 THEN 1 / (1 - achieved) ELSE 1 END, 6) AS factor FROM a""",
-    "bootstrap_ci": f"""WITH e AS (SELECT d.lang, l.doc_id, l.quality::DOUBLE AS x FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL), reps AS (SELECT unnest(range(200)) AS rep),
+    "bootstrap_ci": f"""WITH e AS (SELECT d.lang, l.doc_id, l.quality::DOUBLE AS x FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL), reps AS (SELECT unnest(range(10000)) AS rep),
 h AS (SELECT lang, rep, x, ('0x' || substr(md5('20260714:' || rep || ':' || doc_id), 1, 8))::BIGINT AS u FROM e, reps),
 w AS (SELECT lang, rep, x, {_WEIGHT} AS w FROM h), m AS (SELECT lang, rep, sum(w * x) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL)
 SELECT a.lang, a.n, round(a.mean, 6) AS mean, round(b.lo, 6) AS lo, round(b.hi, 6) AS hi FROM (SELECT lang, count(*) AS n, avg(x) AS mean FROM e GROUP BY lang) a

@@ -103,10 +103,19 @@ def scored_chunks(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def compress_relational(docs: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """The shortened documents of ``scored_chunks``, one row each, without those that pass."""
-    out = prune.rebuilt(prune.pruned(scored_chunks(docs, options), options.target_ratio, options.protect))
-    out = out.join(docs.select("doc_id", "text"), "doc_id")
-    return out.select("doc_id", "compressed", *[c.alias(k) for k, c in prune.metrics(F.col("text"), F.col("compressed")).items()], "chunks_total", "chunks_removed", "removed_chunks", "chunk_scores")
+    """Every document by the operators of ``scored_chunks``, one row each, with the ``status`` of ``compress``: those that pass, or are too large, stay as they are."""
+    got = prune.rebuilt(prune.pruned(scored_chunks(docs, options), options.target_ratio, options.protect))
+    sizes = C.chunks(docs, options.strategy).groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+    rows = docs.select("doc_id", "text").join(sizes, "doc_id", "left").join(got, "doc_id", "left")
+    done = F.col("chunks_removed").isNotNull()
+    status = F.when(done, "ok").when(F.col("n") > graph.MAX_CHUNKS, "too_large").otherwise("passed")
+    figures = prune.metrics(F.col("text"), F.col("compressed"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return rows.select(
+        "doc_id", F.when(done, F.col("compressed")).otherwise(F.col("text")).alias("compressed"), F.when(done, figures["compression_ratio"]).otherwise(0.0).alias("compression_ratio"),
+        F.when(done, figures["tokens_saved"]).otherwise(0).alias("tokens_saved"), F.coalesce("chunks_total", "n", F.lit(0)).alias("chunks_total"), F.coalesce("chunks_removed", F.lit(0)).alias("chunks_removed"),
+        F.coalesce("removed_chunks", none("string")).alias("removed_chunks"), F.coalesce("chunk_scores", none("double")).alias("chunk_scores"), status.alias("status"),
+    )
 
 
 def staged(docs: DataFrame, pre: str | None = None, post: str | None = None, only: str | None = None, options: Options = Options()) -> DataFrame:  # noqa: B008

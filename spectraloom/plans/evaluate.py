@@ -30,6 +30,11 @@ def target_ratio(multiplier: float) -> float:
     return round(1 - 1 / multiplier, 6)
 
 
+def target_column(multiplier: Column) -> Column:
+    """The same as a column; null for a multiplier below 1."""
+    return F.when(multiplier >= 1, F.round(1 - 1 / multiplier, 6))
+
+
 # samples from public question sets, given as DataFrames: (id, prompt, ground_truth)
 
 

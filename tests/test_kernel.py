@@ -89,14 +89,25 @@ def test_chunks_keep_all_words(text):
 def test_relational_equals_fused(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rel = {r.doc_id: r for r in plans.compress_relational(docs).collect()}
-    fused = {r.doc_id: r for r in plans.compress(docs).where("status = 'ok'").collect()}
-    assert rel.keys() == fused.keys()
+    fused = {r.doc_id: r for r in plans.compress(docs).collect()}
+    assert rel.keys() == fused.keys() and {r.status for r in rel.values()} == {"ok", "passed"}
     for k, r in rel.items():
         f = fused[k]
-        assert (r.compressed, r.chunks_total, r.chunks_removed, r.removed_chunks, r.tokens_saved) == (f.compressed, f.chunks_total, f.chunks_removed, f.removed_chunks, f.tokens_saved)
+        assert (r.compressed, r.chunks_total, r.chunks_removed, r.removed_chunks, r.tokens_saved, r.status) == (f.compressed, f.chunks_total, f.chunks_removed, f.removed_chunks, f.tokens_saved, f.status)
         assert r.compression_ratio == pytest.approx(f.compression_ratio) and np.allclose(r.chunk_scores, f.chunk_scores)
 
 
+def test_relational_keeps_every_document(spark, monkeypatch):
+    """Null, blank, short and too large documents have a row and a status, as in the fused plan."""
+    monkeypatch.setattr("spectraloom.operators.graph.MAX_CHUNKS", 12)
+    monkeypatch.setattr("spectraloom.plans.kernel.MAX_CHUNKS", 12)
+    rows = [(1, None), (2, " \n"), (3, "Short text here."), (4, "It is a fine day here. " * 10), (5, "It is a fine day here. " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rel = {r.doc_id: (r.compressed, r.chunks_total, r.chunks_removed, r.status) for r in plans.compress_relational(docs).collect()}
+    alone = {i: kernel.optimize(t) for i, t in rows}
+    assert rel == {i: (r.compressed, r.chunks_total, r.chunks_removed, r.status) for i, r in alone.items()} and [rel[k][3] for k in range(1, 6)] == ["passed", "passed", "passed", "ok", "too_large"]
+
+
 def test_native_chunks_equal_kernel(spark):
     odd = [(0, "Dr. Smith went. U.S. Army said no! \"Yes\" it is.\nNew line. über alles. 3.5 is. End"), (1, "Tab\there. Next\x0bone.  A  b c d."), (2, None), (3, ""), (4, "  \n "), (5, "One. Two. " * 40), (6, "word " * 50), (7, "word " * 51), (8, "word " * 76), (9, "para one is here\n\n\npara two is here\n \npara three is here\n\nfour")]
     docs = spark.createDataFrame(odd, "doc_id long, text string")
