@@ -104,7 +104,7 @@ def test_relational_keeps_every_document(spark, monkeypatch):
     rows = [(1, None), (2, " \n"), (3, "Short text here."), (4, "It is a fine day here. " * 10), (5, "It is a fine day here. " * 30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     rel = {r.doc_id: (r.compressed, r.chunks_total, r.chunks_removed, r.status) for r in plans.compress_relational(docs).collect()}
-    alone = {i: kernel.optimize(t) for i, t in rows}
+    alone = {i: K.optimize(t) for i, t in rows}
     assert rel == {i: (r.compressed, r.chunks_total, r.chunks_removed, r.status) for i, r in alone.items()} and [rel[k][3] for k in range(1, 6)] == ["passed", "passed", "passed", "ok", "too_large"]
 
 
