@@ -73,13 +73,14 @@ def benchmark(args: argparse.Namespace) -> None:
 
     spark = _session()
     if args.kind == "latency":
-        out = reports.stage_stats(reports.profile(spark, args.sizes, args.runs).where("not skipped"), ["target_tokens", "stage"], "ms").orderBy("target_tokens", "stage")
+        out = reports.latency(reports.profile(spark, args.sizes, args.runs))
     elif args.kind == "quality":
         if not args.completer:
             raise ValueError("--completer module:name is needed")
         module, _, name = args.completer.partition(":")
-        make, scorer = generators.REGISTRY[args.dataset]
-        got = evaluate.answers(make(spark), getattr(import_module(module), name), args.multipliers)
+        samples, scorer = evaluate.dataset(spark, args.dataset, args.data, args.limit, args.dry_run, shots=args.shots)
+        pins = INSTRUCTION_PRESET if args.pin_instructions else ()
+        got = evaluate.answers(samples, getattr(import_module(module), name), args.multipliers, pins, args.pin_tool_results)
         out = evaluate.labelled(evaluate.summary(evaluate.results(got, scorer)))
     else:
         rows = sources.suite(spark, args.suite).select("name", "text") if args.suite else generators.small_suite(spark)
@@ -113,7 +114,13 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("kind", nargs="?", choices=("suite", "quality", "latency"), default="suite")
     b.add_argument("--suite")
     b.add_argument("--target", type=float, default=0.2)
-    b.add_argument("--dataset", choices=("system_prompt", "agentic", "adversarial"), default="system_prompt")
+    b.add_argument("--dataset", default="system_prompts", help="one of the sets in plans.evaluate")
+    b.add_argument("--data", help="folder with the tables of a public set, as Parquet")
+    b.add_argument("--limit", type=int, help="samples at most, by id")
+    b.add_argument("--dry-run", action="store_true", help="ten samples at most")
+    b.add_argument("--shots", type=int, default=8, help="worked examples before a question")
+    b.add_argument("--pin-instructions", action="store_true")
+    b.add_argument("--pin-tool-results", action="store_true")
     b.add_argument("--completer", help="module:name of a callable from prompt to answer")
     b.add_argument("--multipliers", type=float, nargs="+", default=[2.0, 4.0])
     b.add_argument("--sizes", type=int, nargs="+", default=[100, 500, 1000, 5000, 10000])

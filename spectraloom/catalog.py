@@ -324,6 +324,14 @@ def survival_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("all_mean", "filtered_mean")})
 
 
+@query
+def depth_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of records with a depth band each, one model left out as its run was broken."""
+    rows = X.frame(spark, X.DEPTH, "model string, qid string, band string, cond string, value double")
+    out = reports.survival_filtered(rows, X.frame(spark, X.LEAKS, "model string, qid string"), ["broken"])
+    return out.withColumns({c: F.round(c, 6) for c in ("all_mean", "filtered_mean")})
+
+
 @query
 def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.frame(spark, X.SWEEP, "model string, cond string, qid string, em_rate double, f1_mean double, achieved_tok_ratio double")

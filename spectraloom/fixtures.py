@@ -39,6 +39,7 @@ PHRASES = [(1, "Unit 1 weighs 4 grams. unit 2 too.", "UNIT 1 weighs 4 grams\n\nU
 RESULTS = [(f"s{k}", m, 0.8, round(0.8 - 0.05 * j - 0.03 * k, 4), round(-0.05 * j - 0.03 * k, 4), round(1 - 0.0625 * j - 0.0375 * k, 4), 0.3 * j, 1.5 * k) for k in range(5) for j, m in enumerate((2.0, 4.0, 16.0)) if not (m == 16.0 and k)]
 SURVIVAL = [(m, c, i, f"q{i}", (i * 7 + len(m) + len(c)) % 5 / 4) for m in ("small", "large") for c in ("base", "half", "pinned") for i in range(8)]
 LEAKS = [("small", "q1"), ("small", "q5"), ("large", "q0"), ("large", "q0"), ("other", "q2")]
+DEPTH = [(m, f"q{i}", ("early", "middle", "late")[i % 3], c, (i * 5 + len(m) * len(c)) % 7 / 6) for m in ("small", "large", "broken") for c in ("half", "pinned") for i in range(9)]
 SWEEP = [(m, c, f"q{i}", (i % 4) / 4, (i % 3) / 4, None if c == "nocontext" else 0.25 + 0.125 * (i % 3)) for m in ("small", "large") for c in ("base", "half", "nocontext") for i in range(6)]
 BUDGETS = [(1, 0.2, 1000, 400), (2, 0.5, 1000, 400), (3, 0.5, 1000, 0), (4, 0.0, 50, 50), (5, 0.75, 1000, 750)]
 MULTIPLIERS = [(1.0,), (1.25,), (2.0,), (4.0,), (8.0,), (16.0,)]

@@ -204,6 +204,9 @@ round(avg(d), 4) AS mean_score_delta, round(coalesce(stddev_samp(d), 0), 4) AS s
     "survival_filtered": f"""WITH {X.values(X.SURVIVAL, 'r', 'model', 'cond', 'idx', 'qid', 'value')}, {X.values(X.LEAKS, 'l', 'model', 'qid')},
 f AS (SELECT * FROM r ANTI JOIN l ON r.model = l.model AND r.qid = l.qid)
 SELECT a.model, a.cond, a.n AS all_n, round(a.m, 6) AS all_mean, coalesce(b.n, 0) AS filtered_n, round(b.m, 6) AS filtered_mean FROM (SELECT model, cond, count(*) AS n, avg(value) AS m FROM r GROUP BY ALL) a LEFT JOIN (SELECT model, cond, count(*) AS n, avg(value) AS m FROM f GROUP BY ALL) b ON a.model = b.model AND a.cond = b.cond""",
+    "depth_filtered": f"""WITH {X.values(X.DEPTH, 'r', 'model', 'qid', 'band', 'cond', 'value')}, {X.values(X.LEAKS, 'l', 'model', 'qid')},
+m AS (SELECT r.*, NOT EXISTS (SELECT 1 FROM l WHERE l.model = r.model AND l.qid = r.qid) AS clean FROM r WHERE r.model <> 'broken')
+SELECT model, cond, count(*) AS all_n, round(avg(value), 6) AS all_mean, count(*) FILTER (clean) AS filtered_n, round(avg(value) FILTER (clean), 6) AS filtered_mean FROM m GROUP BY ALL""",
     "sweep_summary": f"""WITH {X.values(X.SWEEP, 'r', 'model', 'cond', 'qid', 'em', 'f1', 'ach')}, {X.values(X.LEAKS, 'l0', 'model', 'qid')}, l AS (SELECT DISTINCT * FROM l0),
 m AS (SELECT r.*, l.qid IS NULL AS clean FROM r LEFT JOIN l ON r.model = l.model AND r.qid = l.qid),
 a AS (SELECT model, cond, avg(ach) AS achieved, avg(em) AS em, avg(em) FILTER (clean) AS em_filtered, avg(f1) AS f1, avg(f1) FILTER (clean) AS f1_filtered FROM m GROUP BY ALL)

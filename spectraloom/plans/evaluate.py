@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from inspect import signature
 from json import dumps, loads
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions import pins as P
@@ -17,6 +18,7 @@ from spectraloom.functions.text import word_count
 from spectraloom.operators import chunks
 from spectraloom.plans import kernel
 from spectraloom.plans.kernel import Options
+from spectraloom.sources import generators
 
 MULTIPLIERS = (2.0, 4.0, 8.0, 16.0)
 #: Scorers of one answer and one truth, by name; F1 is relational and joined on.
@@ -78,6 +80,42 @@ def paragraph_samples(rows: DataFrame, n: int = 40, seed: int = 20260620, least:
     return sample_by_hash(rows.where((F.size("answers") > 0) & (words >= least) & (words <= most)), "id", n, seed)
 
 
+#: Evaluation sets: name -> (loader, scorer, tables of the caller's that it reads).
+DATASETS: dict[str, tuple[Callable, str, tuple[str, ...]]] = {
+    "gsm8k": (math_word_samples, "exact_match_number", ("train", "test")),
+    "bbh": (task_samples, "exact_match", ("test",)),
+    "natural_questions": (open_question_samples, "f1", ("test",)),
+    "meetingbank": (meeting_samples, "rouge_l", ("test",)),
+    "system_prompts": (generators.system_prompts, "instruction", ()),
+    "agentic_contexts": (generators.agent_transcripts, "context", ()),
+    "adversarial": (generators.hard_texts, "phrases", ()),
+}
+#: Samples of a dry run at most.
+DRY = 10
+
+
+def dataset(spark: SparkSession, name: str, data: str | None = None, limit: int | None = None, dry_run: bool = False, **more: object) -> tuple[DataFrame, str]:
+    """Samples of ``name`` in ``DATASETS`` and their scorer; ``data`` is a folder with its tables as Parquet.
+
+    The first ``limit`` samples by id are taken, in a dry run ``DRY`` at most; of ``more`` a loader gets the arguments it knows.
+    """
+    if name not in DATASETS:
+        raise ValueError(f"no dataset {name!r}; there are {', '.join(sorted(DATASETS))}")
+    load, scorer, tables = DATASETS[name]
+    if tables and data is None:
+        raise ValueError(f"{name} needs a folder with {' and '.join(f'{t}.parquet' for t in tables)}")
+    if limit is not None and limit < 1:
+        raise ValueError("a limit must be 1 or more")
+    if dry_run:
+        limit = min(limit or DRY, DRY)
+    known = signature(load).parameters
+    given = {k: v for k, v in more.items() if k in known and v is not None}
+    if "limit" in known:
+        return load(*(spark.read.parquet(f"{data}/{t}.parquet") for t in tables), limit=limit, **given), scorer
+    rows = load(spark, **given)
+    return (rows.orderBy("id").limit(limit) if limit else rows), scorer
+
+
 def assembled_prompts(turns: DataFrame) -> DataFrame:
     """``conv_id, prompt, tokens`` of ``turns(conv_id, turn, role, text)``: ``[role]`` and text of each turn, in order."""
     line = F.concat(F.lit("["), F.coalesce("role", F.lit("")), F.lit("]\n"), F.coalesce("text", F.lit("")), F.lit("\n"))

@@ -7,7 +7,7 @@ import time
 import tracemalloc
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraloom.operators.graph import MAX_CHUNKS
@@ -78,9 +78,20 @@ def profile(spark: SparkSession, sizes: Sequence[int] = SIZES, runs: int = 5, ra
     return spark.createDataFrame(rows, TIMINGS)
 
 
-def survival_filtered(values: DataFrame, leaks: DataFrame) -> DataFrame:
-    """``model, cond, all_n, all_mean, filtered_n, filtered_mean`` of ``values(model, cond, qid, value)``; the filtered ones leave out ``leaks(model, qid)``."""
+def latency(timings: DataFrame) -> DataFrame:
+    """One row for each size and stage of ``TIMINGS``, in order: figures, share of the total and warning; a skipped size has one row without a stage."""
+    sizes = ["target_tokens", "actual_chars", "chunk_count", "skipped"]
+    rows = stage_stats(timings, [*sizes, "stage"], "ms").join(timings.groupBy("target_tokens").agg((F.max("peak_bytes") / 2**20).alias("peak_mb")), "target_tokens")
+    total = F.max(F.when(F.col("stage") == "total", F.col("median"))).over(Window.partitionBy("target_tokens"))
+    place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    rows = rows.withColumns({"share": F.col("median") / F.nullif(total, F.lit(0)), "warning": F.when(F.col("stage") == "eigendecomposition", eigen_warning(F.col("median")))})
+    return rows.orderBy("target_tokens", place).select(*sizes, "stage", "mean", "median", "p95", "p99", "share", "peak_mb", "warning")
+
+
+def survival_filtered(values: DataFrame, leaks: DataFrame, without: Sequence[str] = ()) -> DataFrame:
+    """``model, cond, all_n, all_mean, filtered_n, filtered_mean`` of ``values(model, cond, qid, value)``; the filtered ones leave out ``leaks(model, qid)``, all of them the models ``without``."""
     marks = leaks.select("model", "qid").distinct().withColumn("leaked", F.lit(True))
+    values = values.where(~F.col("model").isin(*without)) if without else values
     rows = values.join(marks, ["model", "qid"], "left")
     clean = F.when(F.col("leaked").isNull(), F.col("value"))
     return rows.groupBy("model", "cond").agg(F.count("value").alias("all_n"), F.avg("value").alias("all_mean"), F.count(clean).alias("filtered_n"), F.avg(clean).alias("filtered_mean")).where("all_n > 0")

@@ -56,7 +56,3 @@ def small_suite(spark: SparkSession) -> DataFrame:
     """Three prompts to try things out: ``name, text``."""
     rows = [("support", system_prompts(spark, 1).first()["prompt"]), ("agent", agent_transcripts(spark, 1).first()["prompt"]), ("dense", hard_texts(spark, 1).first()["prompt"])]
     return spark.createDataFrame(rows, "name string, text string")
-
-
-#: Evaluation sets that need no outside data: name -> (samples, scorer).
-REGISTRY = {"system_prompt": (system_prompts, "instruction"), "agentic": (agent_transcripts, "context"), "adversarial": (hard_texts, "phrases")}

@@ -143,6 +143,29 @@ def test_loaders(spark):
     assert evaluate.paragraph_samples(para, 5).count() == 5
 
 
+def test_datasets(spark, tmp_path):
+    for name, n, scorer in (("system_prompts", 50, "instruction"), ("agentic_contexts", 50, "context"), ("adversarial", 30, "phrases")):
+        rows, by = evaluate.dataset(spark, name)
+        assert rows.count() == n and by == scorer
+        assert evaluate.dataset(spark, name, dry_run=True)[0].count() == 10 and evaluate.dataset(spark, name, limit=3, dry_run=True)[0].count() == 3
+    assert evaluate.dataset(spark, "agentic_contexts", variants=2, shots=9)[0].count() == 10
+    qa = spark.createDataFrame([(k, f"q{k}", f"so {k} #### {k}") for k in range(15)], "id int, question string, answer string")
+    for part in ("train", "test"):
+        qa.write.parquet(f"{tmp_path}/{part}.parquet")
+    rows, by = evaluate.dataset(spark, "gsm8k", str(tmp_path), dry_run=True, shots=2)
+    assert by == "exact_match_number" and sorted(int(r.id) for r in rows.collect()) == list(range(10)) and rows.first().prompt.count("Q: ") == 3
+    assert len(evaluate.DATASETS) == 7
+    for wrong in ({"name": "none"}, {"name": "bbh"}, {"name": "adversarial", "limit": 0}):
+        with pytest.raises(ValueError):
+            evaluate.dataset(spark, **wrong)
+
+
+def test_latency_table(spark):
+    rows = reports.latency(reports.profile(spark, (100, 100_000), runs=2)).collect()
+    assert [r.stage for r in rows] == [*reports.STAGES, None] and rows[-1].skipped and rows[-1]["median"] is None
+    assert rows[6].share == 1 and all(r.peak_mb > 0 and r.warning is None for r in rows[:7])
+
+
 def test_generators(spark):
     assert generators.system_prompts(spark).count() == 50 and generators.agent_transcripts(spark).count() == 50 and generators.hard_texts(spark).count() == 30
     assert generators.small_suite(spark).count() == 3
