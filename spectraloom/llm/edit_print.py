@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,17 @@ def codes_of(text: str) -> np.ndarray:
     return ((points * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(255) + np.uint32(1)).astype(np.uint8)
 
 
-def walk(blocks: list[np.ndarray]) -> np.ndarray:
+@cache
+def moves(walk: int) -> np.ndarray:
+    """Advance bits of a walk; those of different walks are independent, and walk 0 is that of ``compare``."""
+    if walk == 0:
+        return _MOVE
+    bits = np.random.default_rng((20160619, walk)).integers(0, 2, (STEPS, 256), dtype=np.int8)
+    bits[:, 0] = 0
+    return bits
+
+
+def walk(blocks: list[np.ndarray], bits: np.ndarray = _MOVE) -> np.ndarray:
     """Embeddings (len(blocks), STEPS) of blocks of at most BLOCK codes, padded with 0."""
     out = np.zeros((len(blocks), STEPS), np.uint8)
     size = np.array([len(b) for b in blocks])
@@ -95,7 +106,7 @@ def walk(blocks: list[np.ndarray]) -> np.ndarray:
             grid[: size[k], col] = blocks[k]
         flat, at = grid.ravel(), np.arange(wide)
         got = np.empty((3 * long, wide), np.uint8)
-        move = _MOVE[: 3 * long].astype(np.int64) * wide
+        move = bits[: 3 * long].astype(np.int64) * wide
         for j in range(3 * long):
             c = flat.take(at)
             got[j] = c
@@ -104,8 +115,8 @@ def walk(blocks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
-    """Sampled digits (n, SAMPLES) of each text given by its codes."""
+def fingerprints(texts: list[np.ndarray], number: int = 0) -> np.ndarray:
+    """Sampled digits (n, SAMPLES) of each text given by its codes, on the walk of that number."""
     blocks, seen, firsts, places = [], {}, [], []
     for codes in texts:
         ids = []
@@ -118,7 +129,7 @@ def fingerprints(texts: list[np.ndarray]) -> np.ndarray:
                 blocks.append(b)
             ids.append(k)
         firsts.append(ids)
-    walks = walk(blocks) if blocks else np.zeros((0, STEPS), np.uint8)
+    walks = walk(blocks, moves(number)) if blocks else np.zeros((0, STEPS), np.uint8)
     out = np.zeros((len(texts), SAMPLES), np.uint8)
     for row, (codes, ids) in enumerate(zip(texts, firsts, strict=True)):
         if len(codes):
@@ -299,9 +310,11 @@ def _within_buckets(met: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     return rows.join(texts, "doc_id").repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "doc_id", "component", "text", "side").mapInArrow(meet, "src long, dst long").distinct()
 
 
-def near_copies(docs: DataFrame, most_edits: int = 16, bands: int = 64, digits: int = 6) -> DataFrame:
+def near_copies(docs: DataFrame, most_edits: int = 16, walks: int = 6, bands: int = 24, digits: int = 6) -> DataFrame:
     """``doc_id, component_id`` by bit-sampled banding of fingerprints and verified edit distance, for texts of non-null ids.
 
+    Each text has a fingerprint on each of several independent walks, and bands of its own for each: two
+    texts whose pointers stay out of step after an edit on one walk fall into step on another.
     Equal texts are one text first. In each band each text meets the smallest id of its bucket, so a
     bucket of any size gives one pair a member; pairs are verified on whole texts. Where the members of
     a bucket are then still in several components, they are compared with one another, block by block.
@@ -310,7 +323,8 @@ def near_copies(docs: DataFrame, most_edits: int = 16, bands: int = 64, digits:
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [codes_of(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(as_text(fingerprints(texts)))], ["doc_id", "fingerprint"])
+            every = np.concatenate([fingerprints(texts, w) for w in range(walks)], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(as_text(every))], ["doc_id", "fingerprint"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +338,8 @@ def near_copies(docs: DataFrame, most_edits: int = 16, bands: int = 64, digits:
     reps = rows.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
     marks = reps.mapInArrow(prints, "doc_id long, fingerprint string")
     rng = np.random.default_rng(5)
-    keys = [F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", int(p) + 1, 1) for p in rng.choice(SAMPLES, digits, False)]) for k in range(bands)]
+    picks = [w * SAMPLES + rng.choice(SAMPLES, digits, False) for w in range(walks) for _ in range(bands)]
+    keys = [F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", int(p) + 1, 1) for p in some]) for k, some in enumerate(picks)]
     banded = materialize(marks.select("doc_id", F.explode(F.array(*keys)).alias("band")))
     low = banded.groupBy("band").agg(F.min("doc_id").alias("dst"))
     pairs = banded.join(low, "band").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst").distinct()
