@@ -310,7 +310,7 @@ def _within_buckets(met: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     return rows.join(texts, "doc_id").repartition(n_parts, "cell").sortWithinPartitions("cell").select("cell", "doc_id", "component", "text", "side").mapInArrow(meet, "src long, dst long").distinct()
 
 
-def near_copies(docs: DataFrame, most_edits: int = 16, walks: int = 6, bands: int = 24, digits: int = 6) -> DataFrame:
+def near_copies(docs: DataFrame, most_edits: int = 16, walks: int = 8, bands: int = 24, digits: int = 6) -> DataFrame:
     """``doc_id, component_id`` by bit-sampled banding of fingerprints and verified edit distance, for texts of non-null ids.
 
     Each text has a fingerprint on each of several independent walks, and bands of its own for each: two
