@@ -17,6 +17,7 @@ falls, ``met`` is false in the result, and ``mix`` warns. Columns of the input m
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,29 +73,25 @@ def with_targets(cells: DataFrame, targets: dict[str, DataFrame] | None = None,
 def rake(cells: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-12) -> tuple[DataFrame, float]:
     """The cells with tokens and targets, with ``x``, the raked share, from ``w`` and ``t_<margin>``; and the largest gap of a margin.
 
-    Up to ``FEW`` cells are raked in one task, several rounds a job. More are summed in the tasks before
+    Up to ``FEW`` cells are raked in one task and one short plan. More are summed in the tasks before
     any shuffle and the factors joined back, so a margin of few categories is no bottleneck.
     """
     out = materialize(cells.where("w > 0" + "".join(f" AND t_{m} > 0" for m in MARGINS)))
     total, n = out.agg(F.sum("w"), F.count("*")).first()
     if not total:
         return out.withColumn("x", F.lit(0.0)), 0.0
-    few, gap = n <= FEW, 0.0
-    out = (out.coalesce(1) if few else out).withColumn("x", F.col("w") / F.lit(total))
-    for k in range(rounds):
+    if n <= FEW:
+        return _rake_few(out, total, rounds, tolerance)
+    gap = 0.0
+    out = out.withColumn("x", F.col("w") / F.lit(total))
+    for _ in range(rounds):
         gaps = F.lit(0.0)
         for m in MARGINS:
-            if few:
-                out = out.withColumn("have", F.sum("x").over(Window.partitionBy(m)))
-            else:
-                out = out.join(out.groupBy(m).agg(F.sum("x").alias("have")), m)
+            out = out.join(out.groupBy(m).agg(F.sum("x").alias("have")), m)
             # the gap before the first margin is the one that the round before has left
             out = out.withColumn("gap_" + m, F.greatest(gaps, F.abs(F.col("have") - F.col("t_" + m)))).withColumn("x", F.col("x") * F.col("t_" + m) / F.col("have")).drop("have")
             gaps = F.col("gap_" + m)
-        if few and k % 4 != 3 and k < rounds - 1:
-            out = out.drop(*["gap_" + m for m in MARGINS])
-            continue
-        out = materialize(out, max(1, -(-n // FEW)))
+        out = materialize(out, -(-n // FEW))
         before, gap = gap, out.agg(F.max("gap_" + MARGINS[-1])).first()[0] or 0.0
         out = out.drop(*["gap_" + m for m in MARGINS])
         if gap < tolerance or before and gap > 0.99 * before:  # met, or no longer falling
@@ -102,6 +99,64 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-12) -> tu
     return out, gap
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _rake_few(cells: DataFrame, total: float, rounds: int, tolerance: float) -> tuple[DataFrame, float]:
+    """``rake`` over arrays of one row, so that the plan is as long for forty rounds as for one.
+
+    For each margin the row holds each cell's category ``k_<m>``, the cells in the order of their
+    categories ``o_<m>``, and the place in that order, from 1, at which each category starts ``s_<m>``.
+    """
+    names = cells.columns
+    rows = cells.coalesce(1).withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*MARGINS)) - 1)
+    for m in MARGINS:
+        by = Window.partitionBy(F.lit(0)).orderBy(m)
+        rows = rows.withColumns({"k_" + m: F.dense_rank().over(by) - 1, "s_" + m: F.rank().over(by)})
+    row = rows.agg(F.sort_array(F.collect_list(F.struct("at", *names, *[c + m for m in MARGINS for c in ("k_", "s_")]))).alias("c"))
+
+    def each(name: str) -> Column:
+        return F.transform("c", lambda r: r[name])
+
+    arrays = [F.transform("c", lambda r: r["w"] / F.lit(total)).alias("x")]
+    for m in MARGINS:
+        order = F.transform(F.sort_array(F.arrays_zip(each("k_" + m).alias("k"), each("at").alias("i"))), lambda r: r["i"])
+        arrays += [each("k_" + m).alias("k_" + m), each("t_" + m).alias("t_" + m), order.alias("o_" + m), F.sort_array(F.array_distinct(each("s_" + m))).alias("s_" + m)]
+    # cut here: an array made inside a round would be made again for every cell
+    row = materialize(row.select("c", *arrays))
+
+    def fit(now: Column, m: str) -> Column:
+        """``x`` scaled to a margin, and the larger of its gap before and ``gap``."""
+        kinds, aims, order, starts = (F.col(c + m) for c in ("k_", "t_", "o_", "s_"))
+        have = F.transform(starts, lambda s, j: F.aggregate(F.slice(order, s, F.coalesce(F.get(starts, j + 1), F.size(order) + 1) - s), F.lit(0.0), lambda a, i: a + F.get(now["x"], i)))
+
+        def scaled(h: Column) -> Column:
+            off = F.array_max(F.transform(kinds, lambda k, i: F.abs(F.get(h, k) - F.get(aims, i))))
+            return F.struct(F.transform(now["x"], lambda v, i: v * F.get(aims, i) / F.get(h, F.get(kinds, i))).alias("x"), F.greatest(now["gap"], off).alias("gap"))
+
+        return _let(have, scaled)
+
+    def turn(state: Column, k: Column) -> Column:
+        """One round; every fourth and the last look whether the margins are met, or the gap no longer falls."""
+
+        def closed(r: Column) -> Column:
+            look = (k % 4 == 3) | (k == rounds - 1)
+            end = (r["gap"] < tolerance) | ((state["gap"] > 0) & (r["gap"] > 0.99 * state["gap"]))
+            return F.struct(r["x"].alias("x"), F.when(look, r["gap"]).otherwise(state["gap"]).alias("gap"), (look & end).alias("done"))
+
+        first, second, third = MARGINS
+        start = F.struct(state["x"].alias("x"), F.lit(0.0).alias("gap"))
+        whole = _let(start, lambda r: _let(fit(r, first), lambda r: _let(fit(r, second), lambda r: _let(fit(r, third), closed))))
+        return F.when(state["done"], state).otherwise(whole)
+
+    state = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.struct(F.col("x").alias("x"), F.lit(0.0).alias("gap"), F.lit(False).alias("done")), turn)
+    raked = row.select("c", state.alias("state")).select(F.col("state.gap").alias("gap"), F.explode(F.arrays_zip("c", F.col("state.x").alias("x"))).alias("z"))
+    out = materialize(raked.select(*[F.col("z.c")[c].alias(c) for c in names], F.col("z.x").alias("x"), "gap"))
+    return out.drop("gap"), out.agg(F.max("gap")).first()[0]
+
+
 def calibrate(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     """``source, lang, topic, p``: probabilities min(1, s * x / w) whose expected tokens are ``budget`` of all; s by repeated refinement of a grid."""
     total = raked.agg(F.sum("w")).first()[0] or 1.0

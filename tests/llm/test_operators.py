@@ -527,6 +527,32 @@ def test_mix_targets(spark):
         source_mix.mix(lone, {"source": share(a=0.5, b=0.5), "lang": share(en=0.9, de=0.1)})
 
 
+def test_mix_rakes_in_short_plans(spark, monkeypatch):
+    """Arrays of one row and joined sums give the fit of plain NumPy; no plan grows with the rounds."""
+    rng = np.random.default_rng(3)
+    w = np.where(rng.random((5, 3, 4)) < 0.8, rng.integers(1, 1000, (5, 3, 4)), 0).astype(float)
+    cells = spark.createDataFrame([(f"s{i}", f"l{j}", f"t{k}", float(w[i, j, k])) for i, j, k in np.ndindex(w.shape)], "source string, lang string, topic string, w double")
+    aims = [(t := w.sum(tuple(a for a in range(3) if a != d)) ** 0.8) / t.sum() for d in range(3)]
+    want = w / w.sum()
+    for _ in range(40):
+        for d in range(3):
+            want *= (aims[d] / want.sum(tuple(a for a in range(3) if a != d))).reshape([-1 if a == d else 1 for a in range(3)])
+    windows = []
+
+    def cut(df, parts=None, real=source_mix.materialize):
+        windows.append(df._jdf.queryExecution().optimizedPlan().toString().count("Window ["))
+        return real(df, parts)
+
+    aimed = source_mix.with_targets(cells).localCheckpoint()
+    monkeypatch.setattr(source_mix, "materialize", cut)
+    for few in (source_mix.FEW, 10):
+        monkeypatch.setattr(source_mix, "FEW", few)
+        out, gap = source_mix.rake(aimed)
+        got = {(r.source, r.lang, r.topic): r.x for r in out.collect()}
+        assert gap < 1e-9 and len(got) == (w > 0).sum() and all(abs(x - want[int(s[1]), int(la[1]), int(t[1])]) < 1e-9 for (s, la, t), x in got.items())
+    assert 0 < max(windows) <= 4
+
+
 def test_pieces(spark, odd, none):
     rows = pieces.encode(odd).collect()
     assert len(rows) == 15 and all(r.exact for r in rows) and pieces.encode(none).count() == 0
