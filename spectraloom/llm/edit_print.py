@@ -38,6 +38,8 @@ from spectraloom.llm.common import components, materialize
 BLOCK, STEPS, WIDTH, SAMPLES = 1024, 3072, 2048, 256
 #: Places held for a sample, and a bound of the places of any text (of 10^11 characters).
 RANKS, MOST_PLACES = 8, 1 << 38
+#: Characters that a text counts for at least where texts are gathered.
+LEAST = 512
 #: Texts of a bucket that are compared in one cell.
 MEMBERS = 512
 _rng = np.random.default_rng(20160619)
@@ -169,7 +171,11 @@ def _compare(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
 
 
 def _stream(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by (part, guest, doc_id, text); a guest row only serves as the next document of the row before it."""
+    """Rows come ordered by (part, guest, doc_id, text); a guest row only serves as the next document of the row before it.
+
+    Rows are compared together up to ``most`` characters of texts and next texts, where any text counts
+    as ``LEAST`` at least: a block is walked in up to STEPS bytes however short it is.
+    """
     ids, texts, nexts, held, size = [], [], [], None, 0
     for batch in batches:
         for part, guest, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text")), strict=True):
@@ -177,7 +183,7 @@ def _stream(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[
                 ids.append(held[1])
                 texts.append(held[2])
                 nexts.append(text)
-                size += len(held[2])
+                size += max(len(held[2]), LEAST) + max(len(text) - len(held[2]), 0)
             held = None if guest else (part, doc_id, text)
             if size >= most:
                 yield _compare(ids, texts, nexts)

@@ -275,6 +275,22 @@ def test_edit_print_of_other_lengths(spark):
     assert alike(0, 1) > 0.97 and 0.42 < alike(0, 2) < 0.6 and alike(0, 3) < 0.15 and alike(0, 4) == 0 and alike(4, 4) == 1
 
 
+def test_edit_print_of_many_short_texts():
+    """However short or empty texts are, few of them are held at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 20_000
+    texts = ["" if k % 3 == 0 else f"t{k}" for k in range(n)]
+    batch = pa.RecordBatch.from_pydict({"part": pa.array([0] * n, pa.int32()), "guest": [False] * (n - 1) + [True], "doc_id": list(range(n)), "text": texts})
+    tracemalloc.start()
+    sizes = [b.num_rows for b in edit_print._stream(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == n - 1 and peak < 20e6
+
+
 def test_edit_copies(spark):
     """Equal texts always meet, and so do nearly all of one edit."""
     rows = [(5, None)]
