@@ -200,6 +200,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
         r, j, s = best_of(qm, cm, c_ids, q.column("floor").to_numpy(), rot, k, q_seq, c_seq)
         return pa.table([q_ids[r], q_seq[r], c_ids[j], s], schema=schema)
 
+    # a cogroup does not bring its keys to one type, and an int and a long of one value hash to different partitions
+    left, right = (side.withColumns({x: F.col(x).cast("long") for x in ("q", "c")}) for side in (left, right))
     found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(meet, "query_id long, q_seq long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_seq").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

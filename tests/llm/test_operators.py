@@ -198,6 +198,25 @@ def test_topk_of_any_size(spark, monkeypatch):
     pd.testing.assert_frame_equal(got, want)
 
 
+def test_topk_in_many_partitions(spark, monkeypatch):
+    """Blocks of queries and of candidates meet where the partitions of a shuffle are not merged into one, as on larger tables."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(0, 1, 4).tolist()) for k in range(120)]
+    monkeypatch.setattr(inner_topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(inner_topk, "CAND_ROWS", 16)
+    monkeypatch.setattr(inner_topk, "HEAD_ROWS", 30)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = inner_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = inner_topk.brute(pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    order = ["query_id", "rank"]
+    got, want = (x[["query_id", "rank", "vec_id", "score"]].astype("int64").sort_values(order).reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want)
+
+
 def test_toxicity(spark, odd, none, sf1):
     marks = labels_of(spark, "toxic", "quality")
     assert toxicity.classify(odd, marks).count() == 15 and toxicity.classify(none, marks).count() == 0
