@@ -3,7 +3,10 @@ from pyspark.sql import functions as F
 from tests.conftest import plain
 
 from spectraloom import catalog
+from spectraloom.functions import zones
 from spectraloom.operators import by_document, chunks, graph, prune, spectral, tfidf
+from spectraloom.plans import compress as plans
+from spectraloom.plans import kernel
 
 TEXT = "The first boat came in early. The second boat came in late at night. Nobody saw the third boat at all. The pier was empty then. A last boat left the pier."
 #: Null, blank, short, long, equal and word-less texts; an id that occurs twice, apart; more chunks than a graph may have.
@@ -70,3 +73,38 @@ def test_terms_and_edges_are_never_dealt_out(name, spark, sf):
     """One shuffle, of the texts; before, every term, pair and edge was a row of some shuffle."""
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and not any(x in plan for x in ("Generate", "Join", "Window", "Aggregate"))
+
+
+def joined(docs, options):
+    """The scores by joins and aggregates."""
+    rows = chunks.chunks(docs, options.strategy)
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") >= options.min_chunks) & (F.col("n") <= MOST))
+    edges = graph.text_graph(rows.join(sizes.select("doc_id"), "doc_id", "left_semi"))
+    return rows.join(spectral.centrality(graph.degrees(edges), spectral.spectra(edges, sizes)), ["doc_id", "chunk_index"])
+
+
+@pytest.mark.parametrize("options", [plans.Options(), plans.Options(0.5, "sentence", pins=("pier",)), plans.Options(0.4, "window", protect=False, min_chunks=2)])
+def test_scores_equal_the_joined_ones(docs, options):
+    marks = [(20, "You must name the boat. Always answer in full. The pier is made of wood. It was built long ago. Never guess. You should act as a clerk with json in hand.")]
+    once = docs.where("doc_id > 1").union(docs.sparkSession.createDataFrame(marks, "doc_id long, text string"))
+    names = ["doc_id", "chunk_index", "text", "word_count", "degree_centrality", "score"]
+    assert rows_of(plans.scored_chunks(once, options).select(names)) == rows_of(joined(once, options).select(names))
+    scored = plans.scored_chunks(once, options)
+    want = prune.rebuilt(prune.pruned(scored, options.target_ratio, options.protect))
+    got = plans.compress_relational(once, options).where("status = 'ok'")
+    assert rows_of(got.select(want.columns)) == rows_of(want) and got.count() > 1
+    few = F.col("doc_id") != 7  # the fused plan's own limit of chunks is not lowered here
+    assert rows_of(got.select(want.columns).where(few)) == rows_of(plans.compress(once.where(few), options).where("status = 'ok'").select(want.columns))
+    native = scored.withColumns({f"native_{k}": c for k, c in zones.zone_columns(F.col("text")).items()})
+    assert native.where("native_zone <> zone or abs(native_confidence - confidence) > 1e-12 or abs(native_protection_weight - protection_weight) > 1e-12").count() == 0
+
+
+@pytest.mark.parametrize("name", ["compress_by_operators", "chunk_scores"])
+def test_scored_documents_are_not_dealt_out_again(name, spark, sf):
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 1 and "hashpartitioning" not in plan and not any(x in plan for x in ("Join", "Window", "Aggregate"))
+
+
+def test_equal_ids_stay_texts_of_their_own(docs):
+    rows = plans.compress_relational(docs).where("doc_id = 1").collect()
+    assert sorted(r.chunks_total for r in rows) == sorted(len(kernel.chunk(t)) for i, t in ROWS if i == 1)
