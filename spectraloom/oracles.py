@@ -6,7 +6,7 @@ from spectraloom import fixtures as X
 from spectraloom.functions import pins as P
 from spectraloom.functions import strip as S
 from spectraloom.functions import zones as Z
-from spectraloom.plans.reports import POISSON_CUTS
+from spectraloom.functions.digest import POISSON_CUTS
 
 WORDS = r"len(regexp_extract_all({}, '\S+'))"
 TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"

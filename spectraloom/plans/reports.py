@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import math
 import time
 import tracemalloc
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spectraloom.functions.digest import Weights
 from spectraloom.operators.graph import MAX_CHUNKS
 from spectraloom.operators.spectral import DEGREE_SHARE, SPECTRAL_SHARE, second_eigenpair
 from spectraloom.plans import kernel
@@ -103,29 +105,46 @@ def survival_values(results: DataFrame, qids: DataFrame) -> DataFrame:
     return rows.join(qids, "idx", "left").select("model", "cond", "idx", "qid", "value")
 
 
-def poisson_weight(row: Column, rep: Column, seed: int) -> Column:
-    """A Poisson(1) weight fixed by row, replicate and seed: a 32-bit number from a digest, through the inverse distribution."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), rep.cast("string"), row.cast("string"))), 1, 8), 16, 10).cast("long")
-    out = F.lit(0)
-    for cut in POISSON_CUTS:
-        out = out + F.when(u >= cut, 1).otherwise(0)
-    return out
-
-
-#: 2**32 times the distribution function of Poisson(1) at 0, 1, ..
-POISSON_CUTS = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+#: Tasks for each core, and groups whose sums a task holds at once.
+WAVES, GROUPS = 8, 64
 
 
 def bootstrap_means(rows: DataFrame, key: str, row: str, value: str, reps: int = 10_000, seed: int = 20260714, alpha: float = 0.05) -> DataFrame:
     """``key, n, mean, lo, hi``: percentile interval of the mean over Poisson resamples.
 
-    Every row meets every replicate, but only sums leave a task: one row for each group and replicate.
+    Every row meets every replicate, as arrays of all replicates of a row; only sums leave a task: a row
+    for each group and replicate. Few bytes are many meetings, so rows are dealt over all cores.
     """
     each = rows.select(key, row, F.col(value).cast("double").alias("x")).where("x is not null")
-    drawn = each.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", poisson_weight(F.col(row), F.col("rep"), seed))
-    means = drawn.groupBy(key, "rep").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, held, kind = Weights(reps, seed), {}, None
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for group, (w, wx) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([group] * reps, kind), pa.array(np.arange(reps, dtype=np.int32)), pa.array(w), pa.array(wx)], [key, "rep", "w", "wx"])
+            held.clear()
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for group, name, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if group not in held:
+                    if len(held) >= GROUPS:
+                        yield from flushed()
+                    held[group] = np.zeros(reps, np.int64), np.zeros(reps)
+                w = weights.of(name)
+                held[group][0][:] += w
+                held[group][1][:] += x * w
+        yield from flushed()
+
+    # a given number of partitions, as Spark would merge these few bytes into one
+    dealt = each.select(key, F.col(row).cast("string").alias("_row"), "x").repartition(WAVES * rows.sparkSession.sparkContext.defaultParallelism)
+    drawn = dealt.mapInArrow(sums, f"{key} {each.schema[key].dataType.simpleString()}, rep int, w long, wx double")
+    means = drawn.groupBy(key, "rep").agg((F.sum("wx") / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     ends = means.groupBy(key).agg(F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
-    return each.groupBy(key).agg(F.count("*").alias("n"), F.avg("x").alias("mean")).join(ends, key)
+    # a null group is a group
+    own = each.groupBy(key).agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    return own.join(ends.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def sweep_rows(per_item: DataFrame, leaks: DataFrame) -> DataFrame:

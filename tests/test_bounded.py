@@ -1,15 +1,19 @@
 """What a task holds and how often it walks a text does not grow with the table or the text."""
 
+import hashlib
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spectraloom import catalog
+from spectraloom.functions import digest
 from spectraloom.functions import strip as S
 from spectraloom.operators import chunks
 from spectraloom.plans import compress as plans
-from spectraloom.plans import kernel
+from spectraloom.plans import kernel, reports
 
 LONG = " ".join(f"Boat number {k} came into the harbour." for k in range(30))
 
@@ -76,3 +80,28 @@ def test_stripped_and_staged_rows_leave_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(S.F, "pandas_udf", lambda schema: lambda f: made.append(f) or (lambda text: text))
     S.stripped_column(F.col("text"), "lite")
     assert [len(d) for d in made[0](iter([pd.Series(["It is just a day."] * 600), pd.Series([], dtype=object)]))] == [256, 256, 88, 0]
+
+
+@pytest.mark.parametrize("row", ["7", "123456", None, "ü" * 9, "x" * 38, "x" * 39, "x" * 80])
+def test_poisson_weights_are_those_of_the_digest(row):
+    got = digest.Weights(1203, 20260714).of(row)
+    names = [f"20260714:{k}" + (f":{row}" if row is not None else "") for k in range(1203)]
+    u = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in names]
+    assert got.tolist() == [sum(x >= cut for cut in digest.POISSON_CUTS) for x in u]
+
+
+def test_bootstrap_deals_rows_not_their_replicates(spark, monkeypatch):
+    """More groups than a task holds sums of; null values and a null group; no row for each row and replicate."""
+    monkeypatch.setattr(reports, "GROUPS", 2)
+    monkeypatch.setattr(reports, "WAVES", 1)
+    rows = [(None if k % 7 == 0 else f"g{k % 5}", k, None if k % 11 == 0 else k * 0.25) for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, k long, x double").coalesce(1)
+    out = reports.bootstrap_means(df, "g", "k", "x", reps=50)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.g: (r.n, r["mean"], r.lo, r.hi) for r in out.collect()}
+    weight = digest.Weights(50, 20260714)
+    for g in {r[0] for r in rows}:
+        mine = [(weight.of(str(k)).astype(int), x) for a, k, x in rows if a == g and x is not None]
+        means = [sum(w[j] * x for w, x in mine) / n for j in range(50) if (n := sum(w[j] for w, _ in mine))]
+        lo, hi = np.quantile(means, [0.025, 0.975])
+        assert got[g] == pytest.approx((len(mine), np.mean([x for _, x in mine]), lo, hi))
